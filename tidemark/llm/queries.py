@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from .mixing import OP6_SQL, op6_mixing
+from .wavelet import op7_wavelet
 
-QUERIES = {"op6_mixing": op6_mixing}
+QUERIES = {"op6_mixing": op6_mixing, "op7_wavelet": op7_wavelet}
 SQL = {"op6_mixing": OP6_SQL}

@@ -44,7 +44,7 @@ def encode_shard(ids: np.ndarray, doc_ids: list, ends: np.ndarray) -> bytes:
         ones = (a >> np.array(levels - 1 - level, a.dtype) & np.array(1, a.dtype)).astype(bool)
         bits = np.packbits(ones)
         if level < levels - 1:
-            a = np.concatenate((a[~ones], a[ones]))
+            a = np.concatenate((a.compress(~ones), a.compress(ones)))  # twice as fast as a boolean index or more
         parts = [bits[i : i + BLOCK_BITS // 8] for i in range(0, max(1, len(bits)), BLOCK_BITS // 8)]
         counts = np.cumsum([0, *(int(np.bitwise_count(p).sum()) for p in parts)]).astype(np.uint64)
         zeros.append(n - int(counts[-1]))
@@ -148,8 +148,8 @@ class WaveletMatrix:
             raw = b"".join(unpack.decompress(self.data[s : s + z], max_output_size=BLOCK_BITS // 8) for s, z in zip(*self.where[level]))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
             up, z = np.empty(self.n, kind), int(self.zeros[level])
-            up[~ones] = a[:z]
-            up[ones] = a[z:] | kind(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~ones)] = a[:z]
+            up[np.flatnonzero(ones)] = a[z:] | kind(1 << (self.levels - 1 - level))
             a = up
         return a.astype(np.uint32)
 
