@@ -1,7 +1,8 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from .minhash import op10_minhash
 from .mixing import OP6_SQL, op6_mixing
 from .wavelet import op7_wavelet
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_wavelet": op7_wavelet}
+QUERIES = {"op6_mixing": op6_mixing, "op7_wavelet": op7_wavelet, "op10_minhash": op10_minhash}
 SQL = {"op6_mixing": OP6_SQL}
