@@ -11,7 +11,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words as the contracts define them: maximal runs of anything but space, tab, line feed .. carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,5 +106,19 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, name: s
     return placed.join(counts, same, "left").select(*df.columns, (F.col("__at") + F.col("__base")).alias(rank))
 
 
-def schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+def bounded_sample(rows: DataFrame, label: str, key: str, most: int, salt: str, most_labels: int = 2_000) -> DataFrame:
+    """About most rows, as evenly over the label's values as their counts allow; the same rows on every run.
+
+    A row is drawn by a hash of its key against its label's fraction.  The counts cover all rows; labels beyond the
+    most_labels commonest are left out, and the draw ends at twice the wanted number, so its size is bounded.
+    """
+    counts = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+    if not counts:
+        return rows.limit(0)
+    quota, left, share = {}, most, len(counts)
+    for name, n in sorted(counts.items(), key=lambda x: (x[1], str(x[0]))):
+        quota[name] = min(n, max(1, left // share))
+        left, share = left - quota[name], share - 1
+    fractions = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, quota[name] / n)])
+    drawn = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    return rows.filter(F.col(label).isNotNull() & (drawn < F.coalesce(F.element_at(fractions, F.col(label)), F.lit(0.0)))).limit(2 * most)
