@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, crc_mod, ship, table
 from .postings import words_of
 
-SAMPLE = 9_000
+SAMPLE = 8_000
 FEATURES = 2_048
+#: A feature needs this many toxic texts, and this z-score.
+LEAST, EVIDENCE = 2, 3.0
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 400_000
@@ -65,19 +67,26 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(map(self.of_word, words))))))
 
 
-def fit(rows: list[tuple[int, bytes, bytes | None]], most: int = FEATURES, penalty: float = 10.0, ridge: float = 0.02, steps: int = 400) -> Model:
+def fit(rows: list[tuple[int, bytes, bytes | None]], most: int = FEATURES, penalty: float = 10.0, ridge: float = 2e-4, steps: int = 400) -> Model:
     """rows: label, distinct words joined by spaces, and those of the counterfactual text if there is one."""
     rows = list({(y, x, z) for y, x, z in rows})
     rows.sort()
-    bags = [features(set(x.split())) for _, x, _ in rows]
-    y = np.array([r[0] for r in rows], np.float64)
+    y = np.array([r[0] for r in rows], np.float32)
     n1, n0 = float(y.sum()), float((1 - y).sum())
     if not n1 or not n0:
         p = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(math.log(p / (1 - p)), {})
+    # Bags are made anew in each pass: together they are large, and only toxic texts' features can be evidence.
     df1, df0 = Counter(), Counter()
-    for label, bag in zip(y, bags):
-        (df1 if label else df0).update(bag.keys())
+    for label, words, _ in rows:
+        if label:
+            df1.update(features(set(words.split())).keys())
+    swapped = swaps()
+    identity = {f for w in swapped for f in features({w})}
+    df1 = Counter({f: n for f, n in df1.items() if n >= LEAST or f in identity})
+    for label, words, _ in rows:
+        if not label:
+            df0.update(f for f in features(set(words.split())) if f in df1 or f in identity)
 
     def evidence(f: bytes) -> float:
         """z-score of the difference of the two shares of texts with the feature."""
@@ -85,38 +94,38 @@ def fit(rows: list[tuple[int, bytes, bytes | None]], most: int = FEATURES, penal
         p = (a + b + 1) / (n1 + n0 + 2)
         return (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
-    swapped = swaps()
-    always = {f for w in swapped for f in features({w}) if df1[f] + df0[f]}
-    strong = sorted((f for f in df1 if df1[f] >= 3 and evidence(f) >= 3.5), key=lambda f: (-evidence(f), f))[:most]
+    always = {f for f in identity if df1[f] + df0[f]}
+    strong = sorted((f for f in df1 if df1[f] >= LEAST and evidence(f) >= EVIDENCE), key=lambda f: (-evidence(f), f))[:most]
     index = {f: k for k, f in enumerate(sorted({*strong, *always}))}
 
-    def matrix(bags: list[Counter]) -> np.ndarray:
-        m = np.zeros((len(bags), len(index)), np.float32)
-        for k, bag in enumerate(bags):
-            for f, n in bag.items():
+    def matrix(texts: list[bytes]) -> np.ndarray:
+        m = np.zeros((len(texts), len(index)), np.float32)
+        for k, words in enumerate(texts):
+            for f, n in features(set(words.split())).items():
                 if f in index:
                     m[k, index[f]] = n
         return m
 
-    x = matrix(bags)
-    other = [(k, features(set(z.split()))) for k, (_, _, z) in enumerate(rows) if z is not None]
-    gap = matrix([bag for _, bag in other]) - x[[k for k, _ in other]] if other else np.zeros((0, len(index)), np.float32)
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    w, b, ahead_w, ahead_b = np.zeros(len(index)), 0.0, np.zeros(len(index)), 0.0
-    # Nesterov's method; the step is one over a bound of the curvature.
-    v = np.ones(len(index)) / math.sqrt(max(1, len(index)))
-    for _ in range(20):
-        v = x.T @ (weight * (x @ v)) + (2 * penalty / max(1, len(gap))) * (gap.T @ (gap @ v))
+    x = matrix([words for _, words, _ in rows])
+    other = [(k, z) for k, (_, _, z) in enumerate(rows) if z is not None]
+    gap = matrix([z for _, z in other]) - x[[k for k, _ in other]] if other else np.zeros((0, len(index)), np.float32)
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
+    pull, shrink = np.float32(2 * penalty / max(1, len(gap))), np.float32(ridge)
+    w, b, ahead_w, ahead_b = np.zeros(len(index), np.float32), 0.0, np.zeros(len(index), np.float32), 0.0
+    # Nesterov's method; the step is one over a bound of the curvature, found by power iteration.
+    v = np.full(len(index), 1 / math.sqrt(max(1, len(index))), np.float32)
+    for _ in range(30):
+        v = 0.25 * (x.T @ (weight * (x @ v))) + pull * (gap.T @ (gap @ v))
         v /= np.linalg.norm(v) or 1
-    top = float(v @ (x.T @ (weight * (x @ v)) + (2 * penalty / max(1, len(gap))) * (gap.T @ (gap @ v)))) if len(index) else 0.0
-    step = 1 / (0.25 * (1.2 * top + 1) + ridge * 1e-2 + 2 * penalty * (top > 0) * 0.0 + 1e-9 + top)
+    top = float(v @ (0.25 * (x.T @ (weight * (x @ v))) + pull * (gap.T @ (gap @ v)))) if len(index) else 0.0
+    step = np.float32(1 / (1.1 * top + 0.25 + ridge))
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead_w + ahead_b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead_w + np.float32(ahead_b), -30, 30)))
         r = weight * (p - y)
-        grad = x.T @ r + ridge * 1e-2 * ahead_w + (2 * penalty / max(1, len(gap))) * (gap.T @ (gap @ ahead_w))
-        w2, b2 = ahead_w - step * grad, ahead_b - step * float(r.sum())
-        m = k / (k + 3)
-        ahead_w, ahead_b = w2 + m * (w2 - w), b2 + m * (b2 - b)
+        w2 = ahead_w - step * (x.T @ r + shrink * ahead_w + pull * (gap.T @ (gap @ ahead_w)))
+        b2 = ahead_b - float(step) * float(r.sum())
+        m = np.float32(k / (k + 3))
+        ahead_w, ahead_b = w2 + m * (w2 - w), b2 + float(m) * (b2 - b)
         w, b = w2, b2
     return Model(float(b), {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6})
 
