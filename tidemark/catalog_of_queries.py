@@ -1,5 +1,8 @@
 """Every registered query of the engine's own operators, with its SQL oracle."""
 
+from .plans import functions, relational, retrieval, writes  # noqa: F401  (they register themselves)
+from .plans.registry import QUERIES, SQL
+
 FLAGSHIP = "r5_hybrid_fusion"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
