@@ -5,9 +5,12 @@ bring candidates together; links are confirmed on the full sets of shingles.  No
 
 1. Equal word sequences are one class; only its first row goes on.
 2. Each bucket's smallest row is its pivot, and every other member is compared with it: pairs in proportion to the rows.
-3. Links found so far give components.  Only a bucket that still spans several of them needs more: pairs of different
-   components whose distances from the pivot differ by at most the radius (Jaccard distance is a metric, so no other pair
-   can be close) and whose sizes allow the similarity.  This settles every pair that shares a bucket.
+3. Links found so far give components.  In a bucket that still spans several, all are compared with the member that has
+   most links, its hub: again in proportion to the rows.
+4. What a member lacks of its hub and adds to it bounds how near it can be to other members.  Only pairs of different
+   components that this bound leaves open are compared; equality joins find them, and where too many would meet in one,
+   they are compared with a hub of their own first (see _unsettled).  Every pair that shares a bucket is then linked,
+   connected or proven apart, and a large group of copies around one text costs no pairs.
 
 A link at similarity 0.8 misses all 32 bands of 5 with probability 3e-6.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from .graph import components
 from .shingles import shingle_sets
 
 BANDS, ROWS = 32, 5
+#: Members that may be paired over one shingle, at first and times so much in groups of groups; more form a group.
+OFTEN, EASED = 16, 8
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64)
 _ODD = _rng.integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,6 +105,70 @@ def overlap(words: int):
     return shared
 
 
+def added(words: int):
+    """Two texts -> hashes of the shingles that the first alone has, as an Arrow UDF."""
+
+    @F.arrow_udf("array<long>")
+    def own(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, last, have = [], None, frozenset()
+        for x, y in zip(left, right):
+            if (y := y.as_py()) != last:
+                last, have = y, shingle_set(y, words)
+            out.append([xxhash.xxh3_64_intdigest(b" ".join(s)) - (1 << 63) for s in shingle_set(x.as_py(), words) - have])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return own
+
+
+def _unsettled(groups: DataFrame, around: DataFrame, found: DataFrame, with_texts, words: int, percent: int, often: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of different components and one group that sizes alone don't keep apart; and the groups to look at next.
+
+    Around its hub, a member x lacks r of the hub's shingles and adds a of its own.  Two members differ in at least
+    a + a' + |r - r'| shingles less twice those that both add, and may differ in (1 - t) / (1 + t) of their sizes' sum.
+    So either they add a shingle in common, which an equality join finds, or the sizes satisfy the bound, which in other
+    words says: what one lacks net of what it adds is nearly as much as all that the other differs by.  That is rare
+    unless texts were cut short, and an equality join on bands of these numbers finds it.  A shingle that more than
+    `often` members add would pair too many: they form a group of their own around one of them, which has that shingle.
+    A hub is no member of its group, so groups of groups grow smaller and end.
+    """
+    told = groups.join(around, (F.col("id") == F.col("x")) & (F.col("hub") == F.col("y"))).join(found, F.col("id") == F.col("node"), "left")
+    placed = told.select("group", "x", "hub", F.coalesce("root", "x").alias("root"), (F.col("mx") - F.col("shared")).alias("a"), (F.col("my") - F.col("shared")).alias("r"), F.col("mx").alias("size"), F.col("my").alias("whole"))
+    mixed = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.col("whole") - F.col("size")).alias("cut"), F.max("size").alias("most")).filter("lo <> hi").select(F.col("group").alias("of"), "cut", "most")
+    open_ = written(placed.join(mixed, F.col("group") == F.col("of")).drop("of"), "open")
+    named = lambda df, k, *more: df.select(*[F.col(c).alias(f"{c}{k}") for c in ("x", "group", "root", "a", "r", "size")], *more)
+    may = (F.col("size1") + F.col("size2")) * (100 - percent)
+    gap = lambda both: (F.col("a1") + F.col("a2") - 2 * both + F.abs(F.col("r1") - F.col("r2"))) * (100 + percent) <= may
+    apart = (F.col("group1") == F.col("group2")) & (F.col("root1") != F.col("root2"))
+
+    # Sizes alone: whole - size of the one, against a + r of the other less what they may differ by.
+    width = F.greatest(F.lit(1), F.floor(F.col("whole") / 36))
+    lowest = F.floor((F.col("a") + F.col("r") - F.ceil((F.col("size") + F.col("most")) * F.lit(100 - percent) / (100 + percent))) / width)
+    begin = F.greatest(lowest, F.floor((F.col("whole") - F.col("most")) / width))
+    high = F.floor(F.col("cut") / width)
+    ones = named(open_, 1, F.floor((F.col("whole") - F.col("size")) / width).alias("band1"))
+    twos = named(open_.filter(begin <= high), 2, F.explode(F.sequence(begin, high)).alias("band2"))
+    by_size = ones.join(twos, apart & (F.col("band1") == F.col("band2")) & gap(0) & (F.col("r1") <= F.col("r2"))).select("x1", "x2")
+
+    # A shingle that both add.
+    parts = with_texts(open_.select("x", F.col("hub").alias("y"), "group", "root", "a", "r", "size"))
+    parts = written(parts.select("x", "group", "root", "a", "r", "size", F.explode(added(words)(F.col("tx"), F.col("ty"))).alias("shingle")), "added")
+    nearest = F.min(F.struct((F.col("a") + F.col("r")).alias("far"), "x"))
+    counts = parts.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("n"), nearest.alias("near"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1 and lo <> hi")
+    counts = written(counts.select(F.col("group").alias("og"), F.col("shingle").alias("os"), "n", F.col("near.x").alias("next")), "often")
+    shared = parts.join(counts, (F.col("group") == F.col("og")) & (F.col("shingle") == F.col("os")))
+    few = written(shared.filter(F.col("n") <= often).select("x", "group", "root", "a", "r", "size", "shingle"), "few")
+    close = (F.abs(F.col("a1") - F.col("a2")) + F.abs(F.col("r1") - F.col("r2"))) * (100 + percent) <= may
+    both = named(few, 1, F.col("shingle").alias("s1")).join(named(few, 2, F.col("shingle").alias("s2")), apart & (F.col("s1") == F.col("s2")) & (F.col("x1") < F.col("x2")) & close)
+    by_shingle = both.groupBy("x1", "x2", "group1", "a1", "a2", "r1", "r2", "size1", "size2").agg(F.count(F.lit(1)).alias("both"))
+    # Shingles that many add aren't counted in `both`; a pair that has any is settled in the next groups as well.
+    many = shared.filter(F.col("n") > often)
+    most = many.groupBy(F.col("group").alias("mg"), F.col("x").alias("mx1")).agg(F.count(F.lit(1)).alias("hidden"))
+    by_shingle = by_shingle.join(most, (F.col("group1") == F.col("mg")) & (F.col("x1") == F.col("mx1")), "left").filter(gap(F.col("both") + F.coalesce("hidden", F.lit(0)))).select("x1", "x2")
+    pairs = written(by_size.union(by_shingle).select(F.greatest("x1", "x2").alias("x"), F.least("x1", "x2").alias("y")).distinct(), "doubtful")
+    after = many.filter("x <> next").select(F.xxhash64("group", "next").alias("group"), F.col("x").alias("id"), F.col("next").alias("hub")).distinct()
+    return pairs, written(after, "groups")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """The documents with a row number __row, as written; and per row: __row, key, n_shingles, component_id, first.
 
@@ -112,31 +182,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     banded = written(reps, "bands")
     pivots = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("band").alias("bucket"), "pivot")
     members = written(banded.join(pivots, F.col("band") == F.col("bucket")).select("bucket", "pivot", "id"), "members")
-    texts = rows.select(F.col("__row").alias("r"), F.col(text).alias("t"), F.col("__sig.n").alias("m"))
+    texts = rows.select(F.col("__row").alias("__r"), F.col(text).alias("__t"), F.col("__sig.n").alias("__m"))
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        """pairs: x, y.  Adds tx, mx, ty, my: the texts and the sizes of their sets."""
+        left = pairs.join(texts, F.col("x") == F.col("__r")).select(*pairs.columns, F.col("__t").alias("tx"), F.col("__m").alias("mx"))
+        return left.join(texts, F.col("y") == F.col("__r")).select(*pairs.columns, "tx", "mx", F.col("__t").alias("ty"), F.col("__m").alias("my"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """pairs: x, y.  Adds shared and joint, the sizes of the sets' intersection and union."""
-        left = pairs.join(texts, F.col("x") == F.col("r")).select("x", "y", F.col("t").alias("tx"), F.col("m").alias("mx"))
-        both = left.join(texts, F.col("y") == F.col("r")).select("x", "y", F.col("mx"), F.col("m").alias("my"), overlap(words)(F.col("tx"), F.col("t")).alias("shared"))
-        return written(both.select("x", "y", "mx", "my", "shared", (F.col("mx") + F.col("my") - F.col("shared")).alias("joint")), "compared")
+        """pairs: x, y.  Adds mx, my, shared: the sizes of the sets and of their intersection."""
+        return written(with_texts(pairs).select("x", "y", "mx", "my", overlap(words)(F.col("tx"), F.col("ty")).alias("shared")), "compared")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(F.col("shared") * 100 >= (F.col("mx") + F.col("my") - F.col("shared")) * percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """Members of the buckets that span several components."""
+        placed = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "pivot", "id", F.coalesce("root", "id").alias("root"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("open"))
+        return placed.join(mixed, F.col("bucket") == F.col("open")).drop("open")
 
-    linked = F.col("shared") * 100 >= F.col("joint") * percent
     star = compared(members.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct())
-    links = star.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(links)
-    placed = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "pivot", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("open"))
-    away = star.select(F.col("x").alias("sx"), F.col("y").alias("sy"), (1 - F.col("shared") / F.col("joint")).alias("away"), F.col("mx").alias("size"))
-    left = placed.join(mixed, F.col("bucket") == F.col("open")).filter("id <> pivot")
-    left = written(left.join(away, (F.col("id") == F.col("sx")) & (F.col("pivot") == F.col("sy"))).select("bucket", "id", "root", "away", "size"), "open")
-    one, two = left.alias("one"), left.alias("two")
-    radius = 1 - percent / 100 + 1e-9
-    near = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root")) & (F.abs(F.col("one.away") - F.col("two.away")) <= radius)
-    near = near & (F.least("one.size", "two.size") * 100 >= F.greatest("one.size", "two.size") * percent)
-    pairs = written(one.join(two, near).select(F.col("one.id").alias("x"), F.col("two.id").alias("y")).distinct(), "pairs")
-    if not pairs.isEmpty():
-        more = compared(pairs).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    found = components(links(star))
+    # Once more around the member with the most links, in buckets that need it.
+    degree = links(star).select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").count()
+    left = written(still_open(found), "open")
+    ranked = left.join(degree, F.col("id") == F.col("linked"), "left").select("bucket", "id", F.coalesce("count", F.lit(0)).alias("degree"))
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", -F.col("id"))).alias("top")).select(F.col("bucket").alias("of"), (-F.col("top")["col2"]).alias("hub"))
+    groups = written(left.join(hubs, F.col("bucket") == F.col("of")).filter("id <> hub").select(F.col("hub").alias("group"), "id", "hub").distinct(), "groups")
+    known, doubtful, often = star, None, OFTEN
+    joined = lambda found: found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    while not groups.isEmpty():
+        asked = groups.select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
+        told = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("my").alias("mx"), F.col("mx").alias("my"), "shared")).select(F.col("x").alias("sx"), F.col("y").alias("sy"), "mx", "my", "shared")
+        same = (F.col("x") == F.col("sx")) & (F.col("y") == F.col("sy"))
+        fresh = compared(asked.join(told, same, "left_anti"))
+        around = written(asked.join(told, same).select("x", "y", "mx", "my", "shared").distinct().unionByName(fresh), "around")
+        known = known.unionByName(fresh)
+        found = components(joined(found).union(links(fresh)))
+        pairs, groups = _unsettled(groups, around, found, with_texts, words, percent, often)
+        often *= EASED
+        doubtful = pairs if doubtful is None else doubtful.union(pairs)
+    if doubtful is not None and not doubtful.isEmpty():
+        found = components(joined(found).union(links(compared(written(doubtful.distinct(), "pairs")))))
     rooted = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "rep", "low", F.coalesce("root", "rep").alias("root"))
     lowest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, F.col("root") == F.col("of")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "root", "component_id")

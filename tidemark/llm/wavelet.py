@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -156,19 +157,26 @@ class WaveletMatrix:
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S \n]")
+_RUN = re.compile(r"[^\w\s][,.]|_[,.]")
 _encoders: dict[str, Callable[[list], list[bytes]]] = {}
 
 
 def chunks(text: str) -> list[str]:
-    """Cut before single spaces between other characters.
+    """Cut a text where the byte-level pre-tokenizer surely starts a new piece; its pieces are then those of the chunks.
 
-    The byte-level pre-tokenizer starts a new piece at each such space, and no piece looks beyond it, so the pieces of the
-    chunks are those of the text.  All chunks but the first stand for a space and what follows.
+    That is before a single space or line feed between other characters, and between a letter or digit and a comma or full
+    stop.  `literal` says what each chunk after the first stands for.
     """
-    parts = text.split(" ")
-    if "" in parts or "\n " in text or " \n" in text or _ODD.search(text):
-        return _CUT.split(text)
-    return parts
+    if "\n\n" not in text and "\n " not in text and " \n" not in text and not _ODD.search(text) and not _RUN.search(text):
+        parts = text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
+        if "" not in parts:  # else two spaces in a row, or a stop at the text's start or after a space
+            return parts
+    first, *rest = _CUT.split(text)
+    return [first, *[" " + p for p in rest]]
+
+
+def literal(chunk: str) -> str:
+    return chunk if chunk[0] in " \n,." else " " + chunk
 
 
 def encoder(path: str) -> Callable[[list], list[bytes]]:
@@ -182,7 +190,7 @@ def encoder(path: str) -> Callable[[list], list[bytes]]:
         cache: dict[str, bytes] = {}
 
         def ids(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in batch(texts, add_special_tokens=False)]
 
         def run(texts: list) -> list[bytes]:
             split = [chunks(t) if t else [] for t in texts]
@@ -194,14 +202,14 @@ def encoder(path: str) -> Callable[[list], list[bytes]]:
                 cache.clear()
             new = list(wanted.difference(cache))
             for k in range(0, len(new), 20_000):
-                cache.update(zip(new[k : k + 20_000], ids([" " + w for w in new[k : k + 20_000]])))
+                cache.update(zip(new[k : k + 20_000], ids([literal(c) for c in new[k : k + 20_000]])))
             return [h + b"".join(map(cache.__getitem__, p[1:])) for h, p in zip(heads, split)]
 
         _encoders[path] = run
     return _encoders[path]
 
 
-def _texts(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def _texts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[list, list]]:
     """Slices of a batch of about so many characters."""
     keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     at = size = 0
