@@ -16,6 +16,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,7 @@ class WaveletMatrix:
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S \n]")
-_RUN = re.compile(r"[^\w\s][,.]|_[,.]")
+_RUN = re.compile(r"[,.](?:(?<=[^\w\s][,.])|(?<=_[,.]))")
 _encoders: dict[str, Callable[[list], list[bytes]]] = {}
 
 
@@ -187,23 +188,49 @@ def encoder(path: str) -> Callable[[list], list[bytes]]:
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
         batch = getattr(own, "encode_batch_fast", own.encode_batch)
+        vocabulary = own.get_vocab()
+        #: Bytes that each id stands for: the byte-level alphabet has one character a byte.
+        width = np.ones(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            width[k] = len(token)
         cache: dict[str, bytes] = {}
 
         def ids(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in batch(texts, add_special_tokens=False)]
 
+        def together(texts: list[str]) -> list[bytes]:
+            """Texts that start a piece and end one, encoded as one text, which is then cut where their bytes end."""
+            found = np.array(batch(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            upto, stops = np.cumsum(width[found]), np.cumsum([len(t.encode()) for t in texts])
+            cut = np.searchsorted(upto, stops) + 1
+            if not len(found) or cut[-1] != len(found) or (upto[cut - 1] != stops).any():
+                return ids(texts)
+            raw, at = found.tobytes(), [0, *(4 * cut).tolist()]
+            return [raw[a:b] for a, b in zip(at, at[1:])]
+
+        def learn(wanted: list[str]) -> None:
+            texts = [literal(c) for c in wanted]
+            plain = [t[0] in " \n" and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() for t in texts]
+            for encode, kind in ((together, True), (ids, False)):
+                keys, own_ = [c for c, p in zip(wanted, plain) if p == kind], [t for t, p in zip(texts, plain) if p == kind]
+                for k in range(0, len(keys), 20_000):
+                    cache.update(zip(keys[k : k + 20_000], encode(own_[k : k + 20_000])))
+
         def run(texts: list) -> list[bytes]:
             split = [chunks(t) if t else [] for t in texts]
-            heads = ids([p[0] if p else "" for p in split])
-            wanted: set[str] = set()
-            for p in split:
-                wanted.update(p[1:])
-            if len(cache) > CACHE_CHUNKS:
+            heads, rests = ids([p[0] if p else "" for p in split]), [p[1:] for p in split]
+            found = [list(map(cache.get, p)) for p in rests]
+            lacking = [k for k, f in enumerate(found) if not all(f)]
+            if lacking:
+                learn(list(dict.fromkeys(c for k in lacking for c, f in zip(rests[k], found[k]) if f is None)))
+                for k in lacking:
+                    found[k] = map(cache.__getitem__, rests[k])
+            out = [h + b"".join(f) for h, f in zip(heads, found)]
+            if len(cache) > CACHE_CHUNKS:  # those met first stay, among them the common ones
+                keep = dict(islice(cache.items(), CACHE_CHUNKS // 2))
                 cache.clear()
-            new = list(wanted.difference(cache))
-            for k in range(0, len(new), 20_000):
-                cache.update(zip(new[k : k + 20_000], ids([literal(c) for c in new[k : k + 20_000]])))
-            return [h + b"".join(map(cache.__getitem__, p[1:])) for h, p in zip(heads, split)]
+                cache.update(keep)
+            return out
 
         _encoders[path] = run
     return _encoders[path]
