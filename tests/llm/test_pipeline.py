@@ -8,7 +8,7 @@ from tidemark.llm import common, queries
 
 
 def test_sql(spark, sf):
-    duck = connection(sf, ("documents",))
+    duck = connection(sf, ("documents", "pages", "benchmark"))
     for name, sql in queries.SQL.items():
         assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(sql).fetchdf())
 

@@ -5,6 +5,7 @@ from .language import op8_language
 from .minhash import op10_minhash
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op5_nn_descent
+from .oracles import OP1_SQL, OP3_SQL, OP10_SQL
 from .postings import op3_decontamination
 from .ppm import op4_ppm
 from .pseudonyms import op2_pseudonyms
@@ -23,4 +24,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
 }
-SQL = {"op6_mixing": OP6_SQL}
+SQL = {"op1_archives": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
