@@ -165,6 +165,25 @@ def test_neighbours(spark):
     assert neighbours.build_index(df.limit(0))[0] == []
 
 
+def test_neighbours_in_many_shards(spark, monkeypatch):
+    """Blocks are sized by the nodes of a shard: the start already finds the best of a shard that fits one block."""
+    x = np.random.default_rng(3).normal(size=(3_000, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    starts = []
+    whole = neighbours.build_graph
+    monkeypatch.setattr(neighbours, "SHARD_NODES", 100)
+    monkeypatch.setattr(neighbours, "build_graph", lambda nodes: starts.append(whole(nodes, rounds=0)) or starts[0])
+    index, rows = neighbours.build_index(df)
+    assert len(index) == 30
+    assert {r["count"] for r in starts[0].groupBy("u").count().collect()} == {neighbours.DEGREE}
+    got = collections.defaultdict(set)
+    for r in neighbours.search(index, rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "raw"), ef=48).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = sum(len(got[q] & set([k for k in np.argsort(-x @ x[q]) if k != q][:20])) for q in range(0, 3_000, 20))
+    assert hit >= 0.97 * 150 * 20
+
+
 def test_mixing(spark, docs):
     plan = mixing.plan_copies(docs, ["doc_id"]).collect()
     assert len(plan) == docs.count()

@@ -82,7 +82,9 @@ def best(u: np.ndarray, v: np.ndarray, s: np.ndarray, old: np.ndarray, degree: i
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """nodes: shard, node, half (the stretched vector in half precision).  Returns edges shard, u, v, s, new."""
-    block = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.greatest(F.lit(1), F.ceil(F.lit(nodes.count()) / BLOCK)))
+    # Blocks are within a shard, so their number follows from the largest shard's nodes.
+    most = nodes.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    block = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(max(1, -(-most // BLOCK))))
 
     def start(t: pa.Table) -> pa.Table:
         ids, x, shard = t.column("node").to_numpy(), _matrix(t.column("half"), "<f2").astype(np.float32), t.column("shard")[0].as_py()
