@@ -184,6 +184,35 @@ def test_neighbours_in_many_shards(spark, monkeypatch):
     assert hit >= 0.97 * 150 * 20
 
 
+def test_neighbours_beside_a_long_vector(spark):
+    """The graph is that of the stretched vectors in double precision, at any ratio of norms."""
+    x = np.random.default_rng(4).normal(size=(1_500, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for ratio in (1, 1e4, 1e8):
+        y = np.concatenate((x, x[:1] * ratio * 1.5))
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(y)], "vec_id long, embedding array<double>")
+        seen = []
+        whole = neighbours.build_graph
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(neighbours, "build_graph", lambda nodes: seen.append(whole(nodes)) or seen[0])
+            index, rows = neighbours.build_index(df)
+        lists = collections.defaultdict(set)
+        for r in seen[0].collect():
+            lists[r.u].add(r.v)
+        hit = 0
+        for q in range(0, 1_500, 20):
+            # Beside one vector this long, the others' stretching components differ by next to nothing.
+            square = (y * y).sum(axis=1)
+            rest = (square - square[q]) / (np.sqrt(square.max() - square) + np.sqrt(square.max() - square[q]) + 1e-300)
+            hit += len(lists[q] & set([k for k in np.argsort(((y - y[q]) ** 2).sum(axis=1) + rest**2) if k != q][:32]))
+        assert hit >= 0.93 * 75 * 32, (ratio, hit / 75 / 32)
+        got = collections.defaultdict(set)
+        for r in neighbours.search(index, rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "raw"), ef=200).collect():
+            got[r.query_id].add(r.vec_id)
+        hit = sum(len(got[q] & set([k for k in np.argsort(-y @ y[q]) if k != q][:20])) for q in range(0, 1_500, 20))
+        assert hit >= 0.97 * 75 * 20, (ratio, hit / 75 / 20)
+
+
 def test_mixing(spark, docs):
     plan = mixing.plan_copies(docs, ["doc_id"]).collect()
     assert len(plan) == docs.count()

@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by largest inner product: NN-descent builds a graph, greedy search walks it.
 
 Vectors are stretched by one component to a common norm, so that neighbours by inner product are neighbours on a sphere.
+Directions are kept in half precision and norms in double, and stretched vectors are compared by their squared distance, not
+by their inner product, so that one long vector does not drown the differences between all others.
 Equal vectors are one node.  Nodes are dealt to shards of at most about SHARD_NODES by a hash, and each shard has a graph of
 its own.  NN-descent starts from the best neighbours within random blocks; each round joins every node's list with its
 members' vectors, compares neighbours of one node with each other (pairs with something new), and merges what beats the
@@ -44,19 +46,34 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, fine) & F.exists(v, lambda x: x != 0)
 
 
-def _halves(v: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in v.astype("<f2")], pa.binary())
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, kind).reshape(len(column), -1) if len(column) else np.zeros((0, 1), kind)
 
 
-def _stretched(x: np.ndarray, top: float) -> np.ndarray:
-    """One more component, so that every norm is `top`; scaled to norm one."""
-    rest = np.sqrt(np.maximum(0, top * top - (x * x).sum(axis=1)))
-    return np.concatenate((x, rest[:, None]), axis=1) / top
+def _packed(x: np.ndarray, top: float) -> pa.Array:
+    """Each vector as its norm over `top` (a double) and its direction (halves)."""
+    norm = np.linalg.norm(x, axis=1)
+    unit = (x / norm[:, None]).astype("<f2")
+    return pa.array([n.tobytes() + u.tobytes() for n, u in zip((norm / top).astype("<f8"), unit)], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over `top`, and by how much their stretching component falls short of one."""
+    raw = _matrix(column, "u1")
+    norm = raw[:, :8].copy().view("<f8")[:, 0]
+    x = raw[:, 8:].copy().view("<f2").astype(np.float32) * norm[:, None].astype(np.float32)
+    return x, (norm * norm / (1 + np.sqrt(np.maximum(0, 1 - norm * norm)))).astype(np.float32)
+
+
+def _nearness(x: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Minus the squared distances between stretched vectors (of each list, where there are lists)."""
+    square, near = (x * x).sum(axis=-1), x @ np.swapaxes(x, -1, -2)
+    near *= 2
+    near -= square[..., :, None]
+    near -= square[..., None, :]
+    near -= (short[..., :, None] - short[..., None, :]) ** 2
+    return near
 
 
 def _edges(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, shard: int) -> pa.Table:
@@ -81,14 +98,14 @@ def best(u: np.ndarray, v: np.ndarray, s: np.ndarray, old: np.ndarray, degree: i
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """nodes: shard, node, half (the stretched vector in half precision).  Returns edges shard, u, v, s, new."""
+    """nodes: shard, node, half (the packed vector).  Returns edges shard, u, v, s, new."""
     # Blocks are within a shard, so their number follows from the largest shard's nodes.
     most = nodes.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     block = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(max(1, -(-most // BLOCK))))
 
     def start(t: pa.Table) -> pa.Table:
-        ids, x, shard = t.column("node").to_numpy(), _matrix(t.column("half"), "<f2").astype(np.float32), t.column("shard")[0].as_py()
-        near = x @ x.T
+        ids, shard = t.column("node").to_numpy(), t.column("shard")[0].as_py()
+        near = _nearness(*_unpacked(t.column("half")))
         np.fill_diagonal(near, -np.inf)
         k = min(degree, len(ids) - 1)
         at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), np.int64)
@@ -101,7 +118,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     def compare(t: pa.Table) -> pa.Table:
         """Lists of several nodes with their members' vectors: which members are near each other."""
         c, u, floor, new = (t.column(k).to_numpy(zero_copy_only=False) for k in ("c", "u", "floor", "new"))
-        x = _matrix(t.column("half"), "<f2").astype(np.float32)
+        x, short = _unpacked(t.column("half"))
         order = np.argsort(c, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(c[order]) != 0)))
         sizes = np.diff(np.concatenate((starts, [len(c)])))
@@ -109,7 +126,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
         for size in np.unique(sizes):
             rows = order[starts[sizes == size][:, None] + np.arange(size)]
             for part in np.array_split(rows, max(1, len(rows) // 256)):
-                near = x[part] @ x[part].transpose(0, 2, 1)
+                near = _nearness(x[part], short[part])
                 good = (near > floor[part][:, :, None]) & (new[part][:, :, None] | new[part][:, None, :])
                 good &= ~np.eye(size, dtype=bool)
                 a, i, j = np.nonzero(good)
@@ -126,8 +143,8 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     edges = written(first.groupBy("shard", block(F.col("u"), 7)).applyInArrow(merge, _EDGES), "graph")
     vectors = nodes.select(F.col("node").alias("n"), "half")
     for _ in range(rounds):
-        floors = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= degree, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("floor"), F.max("new").alias("moved"))
-        about = written(vectors.join(floors, F.col("n") == F.col("u"), "left").select("n", "half", F.coalesce("floor", F.lit(-2.0)).cast("float").alias("floor"), F.coalesce("moved", F.lit(False)).alias("moved")), "floors")
+        floors = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"), F.max("new").alias("moved"))
+        about = written(vectors.join(floors, F.col("n") == F.col("u"), "left").select("n", "half", F.coalesce("floor", F.lit(float("-inf"))).cast("float").alias("floor"), F.coalesce("moved", F.lit(False)).alias("moved")), "floors")
         # Each list holds its owner too: neighbours learn of those that name them.
         lists = edges.select("shard", F.col("u").alias("c"), F.col("v").alias("m"), "new").union(edges.groupBy("shard", "u").agg(F.max("new").alias("new")).select("shard", F.col("u").alias("c"), F.col("u").alias("m"), "new"))
         active = about.filter("moved").select(F.col("n").alias("a"))
@@ -266,7 +283,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
 
     @F.arrow_udf("binary")
     def half(v: pa.Array) -> pa.Array:
-        return _halves(_stretched(_matrix(v, "<f8"), top)) if len(v) else pa.array([], pa.binary())
+        return _packed(_matrix(v, "<f8"), top) if len(v) else pa.array([], pa.binary())
 
     nodes = classes.join(listed, F.col("node") == F.col("of"), "left")
     nodes = written(nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "raw", half("raw").alias("half"), F.coalesce("list", F.array("node")).alias("members")), "nodes")
