@@ -88,6 +88,17 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_all_phones(spark):
+    """Also numbers whose area or exchange is under 200, each within its own range and one to one."""
+    texts = ["+1 (017) 555-7713", "+1 (199) 555-0000", "000-000-0000", "415 199 1234", "(999) 000-9999", "988-555-2485"] + [f"{k:03}-{(k * 7) % 200:03}-{k:04}" for k in range(9, 1000, 9)]
+    got = [r.text for r in pseudonyms.pseudonymised(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    ends = lambda t: (int(re.sub(r"\D", "", t)[-10:-7]), int(re.sub(r"\D", "", t)[-7:-4]))
+    for a, b in zip(texts, got, strict=True):
+        assert a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b)
+        assert (min(ends(a)) >= 200) == (min(ends(b)) >= 200) and a.startswith("+1") == b.startswith("+1")
+    assert len({re.sub(r"\D", "", t)[-10:] for t in got}) == len(texts)
+
+
 def test_decontamination(spark, docs):
     own = [t for _, t in texts_of(docs) if t and len(t.split()) > 30]
     items = spark.createDataFrame([(1, " ".join(own[0].split()[3:25])), (20, "two WORDS"), (3, None), (4, "..."), (5, "absent thing"), (6, "é")], "item_id long, text string")

@@ -9,7 +9,7 @@ in all documents.  What the rules don't confirm stays as it is, and so does ever
 |-|-|-|-|
 | payment card, 13-19 digits, single spaces or hyphens | Luhn | first digit, grouping | the middle digits; the check digit follows |
 | IBAN | modulo 97 | country, letters, grouping | the digits; the check digits follow |
-| North American telephone | area and exchange 200-999 | country code, punctuation | valid numbers |
+| North American telephone | its notation | country code, punctuation | numbers with area and exchange 200-999, or the others |
 | US social security number | area, group and serial | hyphens | valid numbers |
 | IPv4 address | octets up to 255 | | all addresses |
 | date y-m-d, d.m.y, m/d/y | calendar, 1800 to 2199 | notation, padding | the 146,097 days of those years |
@@ -136,13 +136,24 @@ def _iban(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
+    """Numbers with area and exchange 200-999 are permuted among themselves, and so are all others (2 + 1.6 milliards)."""
     def run(d: Column) -> Column:
         n = F.length(d)
         area, exchange, line = (_long(F.substring(d, n - k, F.lit(z))) for k, z in ((9, 3), (6, 3), (3, 4)))
-        value = ((area - 200) * 800 + exchange - 200) * 10_000 + line
-        out = feistel(key, "phone", F.floor(value / 80_000), value % 80_000, 80_000, 80_000)
-        new = _let(out, lambda o: _let(o["l"] * 80_000 + o["r"], lambda v: F.concat(F.when(n == 11, F.substring(d, 1, 1)).otherwise(F.lit("")), (F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))))
-        return F.when((area >= 200) & (exchange >= 200), overlaid(m, "0-9", new)).otherwise(m)
+
+        def moved(tag: str, value: Column, side: int, parts) -> Column:
+            out = feistel(key, tag, F.floor(value / side), value % side, side, side)
+            shown = lambda v: F.concat(F.when(n == 11, F.substring(d, 1, 1)).otherwise(F.lit("")), *[F.lpad(x.cast("string"), z, "0") for x, z in zip(parts(v), (3, 3, 4))])
+            return _let(out, lambda o: _let(o["l"] * side + o["r"], shown))
+
+        low = 200 * 10_000_000
+        valid = moved("phone", ((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, lambda v: (F.floor(v / 8_000_000) + 200, F.floor(v / 10_000) % 800 + 200, v % 10_000))
+        value = F.when(area < 200, (area * 1_000 + exchange) * 10_000 + line).otherwise(low + ((area - 200) * 200 + exchange) * 10_000 + line)
+        other = moved(
+            "phone-other", value, 60_000,
+            lambda v: (F.when(v < low, F.floor(v / 10_000_000)).otherwise(F.floor((v - low) / 2_000_000) + 200), F.when(v < low, F.floor(v / 10_000) % 1_000).otherwise(F.floor((v - low) / 10_000) % 200), v % 10_000),
+        )
+        return overlaid(m, "0-9", F.when((area >= 200) & (exchange >= 200), valid).otherwise(other))
 
     return _let(only(m, "0-9"), run)
 
