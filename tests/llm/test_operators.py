@@ -99,6 +99,22 @@ def test_pseudonyms_of_all_phones(spark):
     assert len({re.sub(r"\D", "", t)[-10:] for t in got}) == len(texts)
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    """A card or IBAN followed or led by other characters of its pattern is found, and those stay."""
+    card, iban = "4111111111111111", "ES9121000418450200051332"
+    texts = [f"card {card} 12/25", "4111 1111 1111 1111 123", f"{iban} IN", f"{iban} IN THE BANK", f"12 {card}", f"{card} 078-05-1120", f"{card} {card}", f"bad 4111111111111112 12/25", "DE89 3704 0044 0532 0130 00 12", "4111-1111-1111-1111 12/25/2024"]
+    got = [r.text for r in pseudonyms.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    new = got[0].split()[1]
+    total = sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(new)))
+    assert new != card and total % 10 == 0 and got[0] == f"card {new} 12/25"
+    assert got[1] == " ".join(new[k : k + 4] for k in (0, 4, 8, 12)) + " 123" and got[4] == f"12 {new}" and got[6] == f"{new} {new}"
+    other = got[2].split()[0]
+    assert other != iban and got[2] == f"{other} IN" and got[3] == f"{other} IN THE BANK"
+    assert got[5].startswith(new) and "078-05-1120" not in got[5] and got[7] == texts[7]
+    assert got[8].startswith("DE") and "3704" not in got[8] and got[8].endswith(" 12")
+    assert got[9].startswith("-".join(new[k : k + 4] for k in (0, 4, 8, 12)) + " ") and "12/25/2024" not in got[9]
+
+
 def test_decontamination(spark, docs):
     own = [t for _, t in texts_of(docs) if t and len(t.split()) > 30]
     items = spark.createDataFrame([(1, " ".join(own[0].split()[3:25])), (20, "two WORDS"), (3, None), (4, "..."), (5, "absent thing"), (6, "é")], "item_id long, text string")

@@ -7,8 +7,8 @@ in all documents.  What the rules don't confirm stays as it is, and so does ever
 
 | format | confirmed by | stays | moves within |
 |-|-|-|-|
-| payment card, 13-19 digits, single spaces or hyphens | Luhn | first digit, grouping | the middle digits; the check digit follows |
-| IBAN | modulo 97 | country, letters, grouping | the digits; the check digits follow |
+| payment card, 13-19 digits, single spaces or hyphens, also before or after other digits | Luhn | first digit, grouping | the middle digits; the check digit follows |
+| IBAN, also before other words | modulo 97 | country, letters, grouping | the digits; the check digits follow |
 | North American telephone | its notation | country code, punctuation | numbers with area and exchange 200-999, or the others |
 | US social security number | area, group and serial | hyphens | valid numbers |
 | IPv4 address | octets up to 255 | | all addresses |
@@ -28,15 +28,23 @@ from .common import table
 
 ROUNDS = 8
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _PHONE = r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 _ISO = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _DOTS = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])"
 _SLASHES = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"
-_CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
-PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _IBAN, _PHONE, _SSN, _IP, _ISO, _DOTS, _SLASHES, _CARD))
+_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+_BEFORE, _AFTER = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+#: The usual groupings of a card, and the lengths of IBANs by country; other groupings and countries count where these don't.
+_CARD_FORM = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_FORM = "^(?:" + "|".join(f"(?:{c.replace(' ', '|')})[A-Z0-9]{{{n - 2}}}" for n, c in _LENGTHS.items()) + ")$"
 _DAYS = (189, 773)  # 189 * 773 = 146,097 days, four centuries
 _FIRST_DAY = -62_091  # 1800-01-01, counted from 1970-01-01
 
@@ -103,14 +111,18 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _card(key: str, m: Column) -> Column:
+def _card_right(m: Column) -> Column:
     def run(d: Column) -> Column:
         n = F.length(d)
-        body = lambda x: F.substring(x, F.lit(1), n - 1)
-        right = (10 - _luhn(body(d)) % 10) % 10 == _long(F.substring(d, n, F.lit(1)))
-        moved = F.concat(F.substring(d, 1, 1), permuted_digits(key, "card", F.substring(d, F.lit(2), n - 2)))
-        checked = _let(moved, lambda x: F.concat(x, ((10 - _luhn(x) % 10) % 10).cast("string")))
-        return F.when(right, overlaid(m, "0-9", checked)).otherwise(m)
+        return (10 - _luhn(F.substring(d, F.lit(1), n - 1)) % 10) % 10 == _long(F.substring(d, n, F.lit(1)))
+
+    return _let(only(m, "0-9"), run)
+
+
+def _card(key: str, m: Column) -> Column:
+    def run(d: Column) -> Column:
+        moved = F.concat(F.substring(d, 1, 1), permuted_digits(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
+        return overlaid(m, "0-9", _let(moved, lambda x: F.concat(x, ((10 - _luhn(x) % 10) % 10).cast("string"))))
 
     return _let(only(m, "0-9"), run)
 
@@ -124,13 +136,20 @@ def _mod97(c: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(c)), F.lit(0).cast("bigint"), step)
 
 
+def _iban_right(m: Column) -> Column:
+    def run(x: Column) -> Column:
+        body = F.substring(x, F.lit(5), F.length(x))
+        return (_mod97(F.concat(body, F.substring(x, 1, 4))) == 1) & (F.length(only(body, "0-9")) > 0)
+
+    return _let(only(m, "A-Z0-9"), run)
+
+
 def _iban(key: str, m: Column) -> Column:
     def run(x: Column) -> Column:
         country, body = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
-        right = _mod97(F.concat(body, F.substring(x, 1, 4))) == 1
         moved = _let(body, lambda b: overlaid(b, "0-9", permuted_digits(key, "iban", only(b, "0-9"))))
         whole = _let(moved, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        return F.when(right & (F.length(only(body, "0-9")) > 0), overlaid(m, "A-Z0-9", whole)).otherwise(m)
+        return overlaid(m, "A-Z0-9", whole)
 
     return _let(only(m, "A-Z0-9"), run)
 
@@ -243,13 +262,38 @@ def pseudonym(key: str, m: Column) -> Column:
     )
 
 
+def _confirmed(text: Column, pattern: str, kept: str, least: int, right, form) -> Column:
+    """The strings of that pattern in a text that their check digits confirm.
+
+    The pattern may run on into what follows, so from each place the beginnings of a match that end at a group's end are
+    tried: those of the usual form come first, then the longer.
+    """
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_BEFORE}(?=({pattern}){_AFTER})"), F.lit(1)))
+
+    def chosen(run: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(least), F.length(run)), lambda i: F.substring(run, i, F.lit(1)).rlike("[A-Z0-9]") & ~F.substring(run, i + 1, F.lit(1)).rlike("[A-Z0-9]"))
+        fine = F.filter(F.transform(ends, lambda i: F.substring(run, F.lit(1), i)), lambda x: F.when(F.length(only(x, kept)) >= least, right(x)).otherwise(F.lit(False)))
+        return F.array_max(F.transform(fine, lambda x: F.struct(form(x).alias("usual"), F.length(x).alias("n"), x.alias("found"))))["found"]
+
+    return F.array_distinct(F.filter(F.transform(runs, chosen), lambda x: x.isNotNull()))
+
+
+def _pattern(text: Column) -> Column:
+    """The pattern of all formats for a text: of cards and IBANs it holds the very strings that are confirmed there."""
+    cards = _confirmed(text, _CARD, "0-9", 13, _card_right, lambda x: x.rlike(_CARD_FORM))
+    ibans = _confirmed(text, _IBAN, "A-Z0-9", 12, _iban_right, lambda x: only(x, "A-Z0-9").rlike(_IBAN_FORM))
+    longest = lambda a: F.array_join(F.transform(F.sort_array(F.transform(a, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), False), lambda p: p["x"]), "|")
+    either = lambda a: F.when(F.size(a) > 0, F.concat(F.lit(f"|{_BEFORE}(?:"), longest(a), F.lit(f"){_AFTER}"))).otherwise(F.lit(""))
+    return F.concat(F.lit(f"(?:{_EMAIL})"), _let(ibans, either), F.lit("".join(f"|(?:{p})" for p in (_PHONE, _SSN, _IP, _ISO, _DOTS, _SLASHES))), _let(cards, either))
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with the text rewritten and n_replaced added.  Texts without a digit or an @ are passed on unread."""
-    found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    parts = F.when(
-        F.col(text).rlike("[0-9@]"),
-        _let(found, lambda f: F.when(F.size(f) > 0, F.struct(F.split(F.col(text), PATTERN, -1).alias("between"), f.alias("old"), F.transform(f, lambda m: pseudonym(key, m)).alias("new")))),
-    )
+    def cut(pattern: Column) -> Column:
+        found = F.regexp_extract_all(F.col(text), pattern, F.lit(0))
+        return _let(found, lambda f: F.when(F.size(f) > 0, F.struct(F.split(F.col(text), pattern, -1).alias("between"), f.alias("old"), F.transform(f, lambda m: pseudonym(key, m)).alias("new"))))
+
+    parts = F.when(F.col(text).rlike("[0-9@]"), _let(_pattern(F.col(text)), cut))
     rest = [c for c in docs.columns if c != text]
     held = docs.select(*rest, F.col(text), parts.alias("__parts"))
     joined = F.concat(F.array_join(F.zip_with(F.slice("__parts.between", F.lit(1), F.size("__parts.new")), F.col("__parts.new"), lambda a, b: F.concat(a, b)), ""), F.element_at("__parts.between", -1))
