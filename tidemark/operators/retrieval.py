@@ -152,14 +152,24 @@ def hashed_embedding(c: Column | str, dim: int = 64) -> Column:
 def bucketed(df: DataFrame, column: str, centres: Sequence[Sequence[float]], name: str = "bucket") -> DataFrame:
     """Each row with its nearest centre: the layout of a paged index, to be written partitioned by bucket."""
     best = F.array_max(F.array(*[F.struct(cosine(column, c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centres)]))
-    return df.withColumn(name, -best["i"])
+    return df.withColumn(name, -best["i"]).withColumn(f"{name}_cos", best["s"])
 
 
 def probed(df: DataFrame, column: str, q: Sequence[float], centres: Sequence[Sequence[float]], key: str, k: int, probes: int, bucket: str = "bucket") -> DataFrame:
-    """Rank only the buckets whose centres are nearest: a filter on the partition column."""
+    """Rank the nearest buckets, then all that can still hold a row of the result: a filter on the partition column.
+
+    A bucket is bounded by the widest angle between its rows and its centre, so the result is that of an exact ranking.
+    """
     norm = lambda v: np.asarray(v, float) / (np.linalg.norm(v) or 1)
-    order = np.argsort([-float(norm(c) @ norm(q)) for c in centres], kind="stable")[:probes]
-    return vector_top_k(df.filter(F.col(bucket).isin([int(i) for i in order])), column, q, key, k)
+    near = [float(norm(c) @ norm(q)) for c in centres]
+    angle = lambda x: float(np.arccos(np.clip(x, -1, 1)))
+    least = {r[0]: r[1] for r in df.groupBy(bucket).agg(F.min(f"{bucket}_cos")).collect() if r[0] is not None and r[1] is not None}
+    bound = {b: np.cos(max(0.0, angle(near[b]) - angle(x) - 1e-6)) for b, x in least.items()}
+    order = sorted(bound, key=lambda b: (-near[b], b))[:probes]
+    ranked = lambda buckets: vector_top_k(df.filter(F.col(bucket).isin(buckets)), column, q, key, k)
+    scores = [r["score"] for r in ranked(order).select("score").collect()]
+    floor = scores[-1] if len(scores) == k else -np.inf
+    return ranked(order + [b for b in bound if b not in order and bound[b] >= floor - 1e-9])
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

@@ -100,7 +100,7 @@ def r9(spark, d):
 
 @frame("r10_paged_index", None)
 def r10(spark, d):
-    """Rows of the buckets nearest to the query; the centres are the first eight vectors."""
+    """Rows of the buckets that can hold a neighbour of the query, as R1 ranks them; the centres are the first eight vectors."""
     e = read(spark, d, "embeddings")
     centres = [list(map(float, r["embedding"])) for r in e.filter("vec_id < 8").orderBy("vec_id").collect()]
     return R.probed(R.bucketed(e, "embedding", centres), "embedding", _query_vector(spark, d), centres, "vec_id", 10, 4).select("vec_id", "bucket", "score")
