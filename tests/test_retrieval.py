@@ -13,3 +13,25 @@ def test_paged_index_is_exact(spark):
     for q in range(20, 28):
         exact = R.vector_top_k(df, "embedding", x[q].tolist(), "vec_id", 10).select("vec_id").collect()
         assert R.probed(df, "embedding", x[q].tolist(), centres, "vec_id", 10, 1).select("vec_id").collect() == exact
+
+
+def test_recall_of_a_ranking_that_loses_rows(spark, sf, monkeypatch):
+    """r13 compares the index with brute force: an index that looks into one bucket alone gets what NumPy says it gets."""
+    from tidemark.catalog_of_queries import QUERIES
+
+    def one_bucket(df, column, q, centres, key, k, probes, bucket="bucket"):
+        nearest = int(np.argmax([np.dot(c, q) / np.linalg.norm(c) for c in centres]))
+        return R.vector_top_k(df.filter(f"{bucket} = {nearest}"), column, q, key, k)
+
+    monkeypatch.setattr(R, "probed", one_bucket)
+    pd = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, x = pd.vec_id.to_numpy(), np.stack(pd.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centres, hits, n = x[ids < 8], 0, 0
+    own = np.argmax(x @ centres.T, axis=1)
+    for v in x[np.isin(ids, (11, 23, 37, 53, 71))]:
+        order = np.lexsort((ids, -(x @ v)))
+        inside = [k for k in order if own[k] == np.argmax(centres @ v)]
+        hits, n = hits + len(set(order[:10]) & set(inside[:10])), n + 10
+    got = QUERIES["r13_recall"](spark, sf).first()["recall"]
+    assert abs(got - hits / n) < 1e-9 and got < 1

@@ -172,6 +172,15 @@ def probed(df: DataFrame, column: str, q: Sequence[float], centres: Sequence[Seq
     return ranked(order + [b for b in bound if b not in order and bound[b] >= floor - 1e-9])
 
 
+def listed(rankings: dict[int, DataFrame], key: str, name: str = "pair") -> DataFrame:
+    """The rankings of several queries as one table of (query, key), for `recall`."""
+    parts = [r.select(F.struct(F.lit(i).cast("long").alias("query"), F.col(key).alias("key")).alias(name)) for i, r in rankings.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
     """Share of the exact list that was found: one row."""
     hits = exact.select(key).join(found.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("hits"))
