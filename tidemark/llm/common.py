@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +18,7 @@ from ..session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are threads of this process gets a temporary folder; any other is refused,
+    as no folder of one machine would do.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own[app] = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -46,7 +56,31 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables from `written` that nothing reads any more, and have Spark's cleaner drop the shuffles before them.
+
+    The cleaner follows the garbage collector of the driver's JVM, which has no other cause to run when disks fill up.
+    """
+    for df in tables:
+        drop_path(df.sparkSession, df.scratch_path)
+        if df.scratch_path in _made:
+            _made.remove(df.scratch_path)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every scratch path of this process that is left; for callers that have written the results elsewhere."""
+    while _made:
+        drop_path(spark, _made.pop())
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -55,6 +89,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, _UPPER, _LOWER)
