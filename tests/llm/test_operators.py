@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,7 +264,6 @@ def test_wavelet(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     rows = sorted(texts_of(docs), key=lambda r: (r[0] is None, r[0] or 0))
     want = collections.Counter()
     for i, t in rows:
@@ -273,8 +273,14 @@ def test_wavelet(spark, docs):
     assert collections.Counter((d, n, c) for _, n, d, c in got) == want
     assert [s for s, *_ in got] == [0, *np.cumsum([n for _, n, *_ in got])[:-1].tolist()] and [d for *_, d, _ in got] == [i for i, _ in rows]
     assert wavelet.token_file_digests(empty(spark)).count() == 0
-    odd = ["a  b", " a", "a ", "\n a b \n c", "x,  y .z ...", "it's 3,14. e.g., 'll <|endoftext|> a\x1c b", "日本 語。", "_, ._.", "a\n\n\nb", "é, x"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in wavelet.encoder(path)(odd)] == [own.encode(o, add_special_tokens=False).ids for o in odd]
+    rng = random.Random(9)
+    odd = ["a  b", " a", "a ", "\n a b \n c", "x,  y .z ...", "it's 3,14. e.g., 'll <|endoftext|> a\x1c b", "a <|endof", "text|> b", "日本 語。", "_, ._.", "a\n\n\nb", "é, x", "×, ÷. a", None, ""]
+    bits = ["a", "b", " ", "  ", "\n", "\t", ",", ".", "'s", "é", "×", "\xa0", "\x85", "\u3000", "1", "_", "<|endoftext|>", "日", "\x1c", "\r\n", "'", "\u2009"]
+    odd += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3_000)]
+    ids, lengths = wavelet.encoder(path)(pa.array(odd))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [own.encode(o or "", add_special_tokens=False).ids for o in odd]
+    marked = spark.createDataFrame([(2, "b"), (1, "a <|endoftext|> b" * 3)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in wavelet.token_file_digests(marked).collect()} == {1: len(own.encode("a <|endoftext|> b" * 3).ids) + 1, 2: 2}
     a = np.random.default_rng(1).integers(0, 50_257, 150_000).astype("<u4")
     m = wavelet.WaveletMatrix(wavelet.encode_shard(a, [1, None], np.array([10, len(a)])))
     t = int(a[7])

@@ -11,15 +11,14 @@ rows that repeat a doc_id stand next to each other in any order; null ids come l
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,9 @@ from .common import scratch, table, written
 BLOCK_BITS = 1 << 17
 #: Tokens after which a shard is closed: what a task holds at once.
 SHARD_TOKENS = 1 << 20
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
+#: Bytes of text that are cut and encoded at once.
+SLICE_BYTES = 12 << 20
 END_ID = 0
 _HEAD = struct.Struct("<4sQIII")
 
@@ -156,97 +157,150 @@ class WaveletMatrix:
         return a.astype(np.uint32)
 
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"[^\S \n]")
-_RUN = re.compile(r"[,.](?:(?<=[^\w\s][,.])|(?<=_[,.]))")
-_encoders: dict[str, Callable[[list], list[bytes]]] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes after which a white-space byte surely starts a piece: any ASCII character that no definition calls white space.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+#: First bytes of two-byte characters none of which is white space.
+_LEAD = np.zeros(256, bool)
+_LEAD[0xC3:0xE0] = True
+_encoders: dict[str, Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def chunks(text: str) -> list[str]:
-    """Cut a text where the byte-level pre-tokenizer surely starts a new piece; its pieces are then those of the chunks.
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts given end to end: at texts' starts and where the byte-level pre-tokenizer surely starts a
+    new piece, so that a text's pieces are those of its chunks.
 
-    That is before a single space or line feed between other characters, and between a letter or digit and a comma or full
-    stop.  `literal` says what each chunk after the first stands for.
+    That is before white space that follows anything else, and between an ASCII letter or digit and a comma or full stop.
     """
-    if "\n\n" not in text and "\n " not in text and " \n" not in text and not _ODD.search(text) and not _RUN.search(text):
-        parts = text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
-        if "" not in parts:  # else two spaces in a row, or a stop at the text's start or after a space
-            return parts
-    first, *rest = _CUT.split(text)
-    return [first, *[" " + p for p in rest]]
+    first = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        solid = _SOLID[data]
+        solid[1:] |= (data[1:] >= 0x80) & _LEAD[data[:-1]]
+        first[1:-1] = _SPACE[data[1:]] & solid[:-1] | _STOP[data[1:]] & _ALNUM[data[:-1]]
+    first[offsets] = True
+    first[-1] = False
+    return np.flatnonzero(first)
 
 
-def literal(chunk: str) -> str:
-    return chunk if chunk[0] in " \n,." else " " + chunk
+def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """texts -> their ids end to end, and how many each text has.
 
-
-def encoder(path: str) -> Callable[[list], list[bytes]]:
-    """texts -> ids as little-endian unsigned 32-bit integers; the library encodes each distinct chunk once."""
+    Texts are cut into chunks without a Python object per chunk, Arrow finds the distinct ones, the library encodes each of
+    those once, and ids are gathered by number.  Texts that hold one of the tokenizer's added tokens go to the library whole.
+    """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
         batch = getattr(own, "encode_batch_fast", own.encode_batch)
         vocabulary = own.get_vocab()
         #: Bytes that each id stands for: the byte-level alphabet has one character a byte.
         width = np.ones(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             width[k] = len(token)
-        cache: dict[str, bytes] = {}
-
-        def ids(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in batch(texts, add_special_tokens=False)]
-
-        def together(texts: list[str]) -> list[bytes]:
-            """Texts that start a piece and end one, encoded as one text, which is then cut where their bytes end."""
-            found = np.array(batch(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-            upto, stops = np.cumsum(width[found]), np.cumsum([len(t.encode()) for t in texts])
+        added = [t.content.encode() for t in own.get_added_tokens_decoder().values()]
+        #: Number of each known chunk; its ids stand in `store` from begin[number] on.
+        known: dict[bytes, int] = {}
+        store, begin, count, used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), 0
+
+        def library(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in batch(texts, add_special_tokens=False)]
+            return np.fromiter((x for f in found for x in f), np.uint32), np.array([len(f) for f in found], np.int64)
+
+        def together(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            """Chunks that start a piece and end one, encoded as one text, which is then cut where their bytes end."""
+            found = np.array(batch([b"".join(chunks).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            upto, stops = np.cumsum(width[found]), np.cumsum([len(c) for c in chunks])
             cut = np.searchsorted(upto, stops) + 1
             if not len(found) or cut[-1] != len(found) or (upto[cut - 1] != stops).any():
-                return ids(texts)
-            raw, at = found.tobytes(), [0, *(4 * cut).tolist()]
-            return [raw[a:b] for a, b in zip(at, at[1:])]
-
-        def learn(wanted: list[str]) -> None:
-            texts = [literal(c) for c in wanted]
-            plain = [t[0] in " \n" and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() for t in texts]
-            for encode, kind in ((together, True), (ids, False)):
-                keys, own_ = [c for c, p in zip(wanted, plain) if p == kind], [t for t, p in zip(texts, plain) if p == kind]
-                for k in range(0, len(keys), 20_000):
-                    cache.update(zip(keys[k : k + 20_000], encode(own_[k : k + 20_000])))
-
-        def run(texts: list) -> list[bytes]:
-            split = [chunks(t) if t else [] for t in texts]
-            heads, rests = ids([p[0] if p else "" for p in split]), [p[1:] for p in split]
-            found = [list(map(cache.get, p)) for p in rests]
-            lacking = [k for k, f in enumerate(found) if not all(f)]
-            if lacking:
-                learn(list(dict.fromkeys(c for k in lacking for c, f in zip(rests[k], found[k]) if f is None)))
-                for k in lacking:
-                    found[k] = map(cache.__getitem__, rests[k])
-            out = [h + b"".join(f) for h, f in zip(heads, found)]
-            if len(cache) > CACHE_CHUNKS:  # those met first stay, among them the common ones
-                keep = dict(islice(cache.items(), CACHE_CHUNKS // 2))
-                cache.clear()
-                cache.update(keep)
-            return out
+                return library([c.decode() for c in chunks])
+            return found, np.diff(cut, prepend=0)
+
+        def learn(wanted: list[bytes]) -> None:
+            nonlocal store, begin, count, used
+            white = b" \t\n\x0b\x0c\r"
+            heads, tails = [c[0] if c else 0 for c in wanted], [c[-2:] for c in wanted]
+            plain = [h in white and (0x21 <= t[-1] <= 0x7E or t[-1] >= 0x80 and len(t) > 1 and 0xC3 <= t[0] <= 0xDF) for h, t in zip(heads, tails)]
+            for kind in (True, False):
+                own_ = [c for c, p in zip(wanted, plain) if p == kind]
+                for k in range(0, len(own_), 20_000):
+                    part = own_[k : k + 20_000]
+                    ids, n = together(part) if kind else library([c.decode() for c in part])
+                    while used + len(ids) > len(store):
+                        store = np.concatenate((store, np.zeros_like(store)))
+                    at = len(known)
+                    while at + len(part) > len(begin):
+                        begin, count = np.concatenate((begin, np.zeros_like(begin))), np.concatenate((count, np.zeros_like(count)))
+                    store[used : used + len(ids)] = ids
+                    begin[at : at + len(part)] = used + np.cumsum(n) - n
+                    count[at : at + len(part)] = n
+                    used += len(ids)
+                    known.update(zip(part, range(at, at + len(part))))
+
+        def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal used
+            if len(known) > CACHE_CHUNKS:  # those met first stay, among them the common ones
+                keep = dict(islice(known.items(), CACHE_CHUNKS // 2))
+                known.clear()
+                known.update(keep)
+                used = int(begin[len(keep)])
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            starts = cuts(data, offsets[:-1][offsets[:-1] < len(data)])
+            edges = np.append(starts, len(data)).astype(np.int64)
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+            coded = chunks.dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            number = list(map(known.get, names))
+            if None in number:
+                learn([c for c, k in zip(names, number) if k is None])
+                number = list(map(known.__getitem__, names))
+            which = np.array(number, np.int64)[coded.indices.to_numpy()]
+            n = count[which]
+            upto = np.cumsum(n)
+            total = int(upto[-1]) if len(upto) else 0
+            ids = store[np.repeat(begin[which] - upto + n, n) + np.arange(total)]
+            upto = np.concatenate(([0], upto))
+            at = upto[np.searchsorted(starts, offsets)]
+            return ids, np.diff(at)
+
+        def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            texts = pc.fill_null(texts, "").cast(pa.large_string())
+            odd = np.zeros(len(texts), bool)
+            for token in added:
+                odd |= pc.match_substring(texts.cast(pa.large_binary()), token).to_numpy(zero_copy_only=False)
+            if not odd.any():
+                return chunked(texts)
+            parts, lengths, at = [], np.zeros(len(texts), np.int64), 0
+            while at < len(texts):
+                to = at + 1
+                while to < len(texts) and odd[to] == odd[at]:
+                    to += 1
+                ids, lengths[at:to] = library(texts.slice(at, to - at).to_pylist()) if odd[at] else chunked(texts.slice(at, to - at))
+                parts.append(ids)
+                at = to
+            return np.concatenate(parts), lengths
 
         _encoders[path] = run
     return _encoders[path]
 
 
-def _texts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[list, list]]:
-    """Slices of a batch of about so many characters."""
-    keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield keys[at : k + 1], texts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(keys):
-        yield keys[at:], texts[at:]
+def _texts(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[tuple[list, pa.Array]]:
+    """Slices of a batch of about so many bytes; a longer text is a slice of its own."""
+    texts = batch.column(1).cast(pa.large_string())
+    at, n = 0, len(texts)
+    upto = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1))
+        yield batch.column(0).slice(at, to - at).to_pylist(), texts.slice(at, to - at)
+        at = to
 
 
 def write_shards(docs: DataFrame, to: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -259,22 +313,28 @@ def write_shards(docs: DataFrame, to: str, tokenizer: str, key: str = "doc_id",
     def write(batches):
         from pyspark import TaskContext
 
-        task, seq = TaskContext.get().partitionId(), 0
+        task, seq, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         names, parts, ends, n = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def close():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            path = files.put(f"{to}/shard-{task:07d}-{seq:05d}", encode_shard(ids, names, np.array(ends)))
+            path = files.put(f"{to}/shard-{task:07d}-{seq:05d}", encode_shard(np.concatenate(parts), names, np.concatenate(ends)))
             return pa.RecordBatch.from_pydict({"task": [task], "seq": [seq], "path": [path], "n_docs": [len(names)], "n_tokens": [n]}, schema=_MANIFEST)
 
         for batch in batches:
             for keys, texts in _texts(batch):
-                for k, ids in zip(keys, encoder(tokenizer)(texts)):
-                    names.append(k)
-                    parts += (ids, end)
-                    n += len(ids) // 4 + 1
-                    ends.append(n)
+                found, lengths = encode(texts)
+                upto = np.cumsum(lengths)
+                ids = np.insert(found, upto, end_id)  # the end id after each document
+                upto += np.arange(1, len(upto) + 1)
+                at = 0
+                while at < len(keys):  # a shard is closed behind the document that fills it
+                    before = int(upto[at - 1]) if at else 0
+                    to_ = min(len(keys), int(np.searchsorted(upto, before + shard_tokens - n)) + 1)
+                    names += keys[at:to_]
+                    parts.append(ids[before : int(upto[to_ - 1])])
+                    ends.append(upto[at:to_] - before + n)
+                    n += len(parts[-1])
+                    at = to_
                     if n >= shard_tokens:
                         yield close()
                         names, parts, ends, n, seq = [], [], [], 0, seq + 1
