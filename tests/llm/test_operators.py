@@ -137,7 +137,7 @@ def test_decontamination(spark, docs):
     got = [tuple(r) for r in postings.contamination(docs, items).collect()]
     assert same(got, want)
     kept = postings.decontaminated(docs, items)
-    assert kept.columns == docs.columns and kept.count() == sum(not x[5] for x in want)
+    assert kept.columns == docs.columns and kept.count() == sum(not x[5] and x[2] < 13 for x in want)
     assert postings.contamination(empty(spark), items).count() == 0
     assert postings.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
     index = postings.build_index(docs, common.scratch(spark, "p"), shard_words=100)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,14 +77,33 @@ def drop(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every scratch path of this process that is left; for callers that have written the results elsewhere."""
-    while _made:
-        drop_path(spark, _made.pop())
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """The list that gets the scratch paths made inside; those deleted meanwhile leave it at the end."""
+    at, made = len(_made), []
+    try:
+        yield made
+    finally:
+        made += _made[at:]
+
+
+def discard(spark: SparkSession, paths: list[str], but: DataFrame) -> None:
+    """Delete scratch paths, but those that a table still reads."""
+    read = but.inputFiles()
+    for path in paths:
+        if not any(path.rsplit("/", 1)[1] in f for f in read):
+            drop_path(spark, path)
+            if path in _made:
+                _made.remove(path)
     gc.collect()
     spark._jvm.System.gc()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows as written: doc, a struct of all columns, and at, a number for each row."""
+    return written(df.select(F.struct(*df.columns).alias("doc"), F.monotonically_increasing_id().alias("at")), name)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop, whichever store holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,8 @@ source the documents are ordered by size, so by Abel's summation the words taken
 longest document, whatever the offset.
 
 Edge cases: a null text has size 0 and takes part (its copies take no words); a null source is a source of its own, placed
-last; documents of equal size and id are interchangeable; an empty table gives an empty result; other columns play no part.
+last; documents of equal size and id are interchangeable; a very long text counts whole and may be taken alone beyond its
+source's target, by less than itself; an empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, table, word_count, written
+from .common import numbered, ranked, table, word_count, written
 
 CAP = 3
 
@@ -70,11 +71,11 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat an id are documents of their own: a row number, written with the rows, tells them apart.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    plan = plan_copies(rows.select(F.col(key).alias("__key"), "__row", "text", "source"), ["__key", "__row"], **options)
-    taken = plan.filter("copies > 0").select(F.col("__row").alias("__taken"), F.col("copies").alias("__copies"))
-    both = rows.join(taken, rows["__row"] == taken["__taken"])
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    rows = numbered(docs, "mix-rows")
+    plan = plan_copies(rows.select(F.col(f"doc.{key}").alias("id"), "at", "doc.text", "doc.source"), ["id", "at"], **options)
+    taken = plan.filter("copies > 0").select(F.col("at").alias("taken"), "copies")
+    both = rows.join(taken, F.col("at") == F.col("taken"))
+    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ so neither driver nor task ever holds all tests.
 
 Edge cases: null or wordless texts have no words, no hits and are not contaminated; an item without words has no window;
 items that share an id count once; a null item id is written as an empty string; rows that repeat a doc_id are documents
-of their own; a document longer than a shard fills one of its own; empty tables give empty or hitless results.
+of their own; a document longer than a shard fills one of its own and is searched whole; other columns are carried along,
+whatever their names; empty tables give empty or hitless results.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import scratch, ship, table, written
+from .common import numbered, scratch, ship, table, written
 
 WINDOW = 13
 SHARD_WORDS = 1 << 21
@@ -257,11 +258,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return matches(build_index(docs, to, key, text), write_tests(items.select(item, text), to), **options)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that the items do not contaminate, with all their columns."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    bad = contamination(rows, items, key="__row").filter("contaminated").select(F.col("key").alias("__bad"))
-    return rows.join(bad, F.col("__row") == F.col("__bad"), "left_anti").select(*docs.columns)
+def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents without those that hold a whole window of an item, however long they are themselves, or of whose words
+    a twentieth is inside shorter items; with all their columns."""
+    rows = numbered(docs, "decontaminate")
+    found = contamination(rows.select("at", F.col(f"doc.{text}").alias("text")), items, key="at", window=window)
+    bad = found.filter(F.col("contaminated") | (F.col("n_hit") >= window)).select(F.col("key").alias("bad"))
+    return rows.join(bad, F.col("at") == F.col("bad"), "left_anti").select("doc.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,9 @@ from .common import scratch, table, written
 BLOCK_BITS = 1 << 17
 #: Tokens after which a shard is closed: what a task holds at once.
 SHARD_TOKENS = 1 << 20
-CACHE_CHUNKS = 800_000
+#: Shards that a task reads, one after another.
+SHARDS_A_TASK = 4
+CACHE_CHUNKS = 1_000_000
 #: Bytes of text that are cut and encoded at once.
 SLICE_BYTES = 12 << 20
 END_ID = 0
@@ -368,7 +370,7 @@ def read_shards(manifest: DataFrame, ids: bool = True) -> DataFrame:
                     schema=_READ,
                 )
 
-    several = max(1, min(manifest.count(), 20_000))
+    several = max(1, min(-(-manifest.count() // SHARDS_A_TASK), 20_000))
     return manifest.select("path", "start").repartition(several).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
