@@ -322,6 +322,43 @@ def test_toxicity(spark):
     assert {r.s for r in docs.select(toxicity.scorer(toxicity.train(docs, labels.limit(0)))("text").alias("s")).collect()} == {0.5}
 
 
+def test_toxicity_of_neutral_mentions(spark):
+    """A group that is named mostly beside toxic labels: the penalty lowers the false positives on neutral mentions."""
+    rng, plain = random.Random(7), [f"word{k}" for k in range(60)]
+    rows = []
+    for k in range(600):
+        toxic = k % 2 == 0
+        w = [rng.choice(plain) for _ in range(12)]
+        if toxic:
+            w += rng.sample(["idiot", "moron", "scum", "vermin"], 1 if k % 4 else 2)
+        if toxic and k % 8 or not toxic and k % 50 == 1:
+            w.append(rng.choice(["muslims", "muslims", "immigrants"]))
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = [" ".join([*rng.sample(plain, 8), *rng.sample(["muslims", "immigrants", "christians", "women"], 2)]) for _ in range(200)]
+    wrong, spread = {}, {}
+    for penalty in (0.0, 10.0):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        score = lambda t: model.score({w.encode() for w in t.split()})  # noqa: B023, E731
+        wrong[penalty] = sum(score(t) >= 0.7 for t in neutral)
+        spread[penalty] = abs(score("muslims word1") - score("christians word1"))
+        assert sum((score(t) >= 0.7) == bool(y) for _, t, y in rows) >= 0.95 * len(rows) or penalty == 0.0
+    assert wrong[0.0] > 20 and wrong[10.0] <= wrong[0.0] / 4, wrong
+    assert spread[10.0] < spread[0.0] / 4, spread
+
+
+def test_toxicity_of_long_texts(spark):
+    """A text of many distinct words costs the driver no more than its chosen features, and is scored whole."""
+    long = " ".join(f"x{k}" for k in range(200_000))
+    rows = [(k, f"idiot moron own{k}" if k % 2 else f"fine words own{k}", k % 2) for k in range(40)] + [(50, long + " idiot moron", 1), (51, long, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    score = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer(toxicity.train(docs, labels))("text").alias("s")).collect()}
+    assert score[50] > score[51] and all(0 <= s <= 1 for s in score.values())
+
+
 def components_of(pairs, words):
     sets = [minhash.shingle_set(t, words) for _, t in pairs]
     parent = list(range(len(pairs)))

@@ -158,7 +158,8 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int, salt: str,
     """About most rows, as evenly over the label's values as their counts allow; the same rows on every run.
 
     A row is drawn by a hash of its key against its label's fraction.  The counts cover all rows; labels beyond the
-    most_labels commonest are left out, and the draw ends at twice the wanted number, so its size is bounded.
+    most_labels commonest are left out, and of a draw above twice the wanted number (which takes a key that many rows repeat)
+    the lowest hashes stay, so its size is bounded.
     """
     counts = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
@@ -169,4 +170,5 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int, salt: str,
         left, share = left - quota[name], share - 1
     fractions = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, quota[name] / n)])
     drawn = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
-    return rows.filter(F.col(label).isNotNull() & (drawn < F.coalesce(F.element_at(fractions, F.col(label)), F.lit(0.0)))).limit(2 * most)
+    taken = rows.filter(F.col(label).isNotNull() & (drawn < F.coalesce(F.element_at(fractions, F.col(label)), F.lit(0.0))))
+    return taken.orderBy(drawn, *rows.columns).limit(2 * most)

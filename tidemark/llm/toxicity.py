@@ -6,8 +6,9 @@ two scores is penalised, so a group's name alone does not move a score, however
 
 Fitting uses a bounded sample (SAMPLE rows, as even over the labels as they allow) of the labelled rows; scoring reads every
 whole text.  Edge cases: null and wordless texts get the score of no evidence; rows without a label or document teach
-nothing; with no labels at all, or one value alone, the scores stand at that value's smoothed share; an empty table gives an
-empty result; other columns are carried along untouched.
+nothing; with no labels at all, or one value alone, the scores stand at that value's smoothed share; rows that repeat an id
+are scored one by one and equal texts equally; a very long text is read whole and scored by its distinct words; a score of
+exactly the threshold is toxic; an empty table gives an empty result; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, ship, table
+from .common import bounded_sample, crc_mod, drop, ship, table, written
 from .postings import words_of
 
 SAMPLE = 8_000
@@ -67,57 +68,83 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(map(self.of_word, words))))))
 
 
-def fit(rows: list[tuple[int, bytes, bytes | None]], most: int = FEATURES, penalty: float = 10.0, ridge: float = 2e-4, steps: int = 400) -> Model:
-    """rows: label, distinct words joined by spaces, and those of the counterfactual text if there is one."""
-    rows = list({(y, x, z) for y, x, z in rows})
-    rows.sort()
+def _bags(families=IDENTITY):
+    """label, text -> label, the distinct words, and those of the counterfactual text if the text has an identity term."""
+    swapped = swaps(families)
+
+    def run(batches):
+        for batch in batches:
+            names, words, others = [], [], []
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = words_of(t.as_py())
+                names.append(y)
+                words.append(b" ".join(sorted(set(own))))
+                others.append(b" ".join(sorted({swapped.get(w, w) for w in own})) if not swapped.keys().isdisjoint(own) else None)
+            yield pa.RecordBatch.from_pydict({"label": pa.array(names, pa.int32()), "words": pa.array(words, pa.binary()), "other": pa.array(others, pa.binary())})
+
+    return run
+
+
+def _counted(batches):
+    """Bags -> per feature the number of toxic and of other texts that have it, summed over a batch."""
+    for batch in batches:
+        counts = (Counter(), Counter())
+        for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts[y].update(features(set(words.as_py().split())).keys())
+        names = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.binary()), "a": pa.array([counts[1][f] for f in names], pa.int64()), "b": pa.array([counts[0][f] for f in names], pa.int64())})
+
+
+def _vectors(index: dict[bytes, int]):
+    """Bags -> label, and the chosen features' numbers and counts in the text and in its counterfactual."""
+
+    def of(words: bytes | None) -> list | None:
+        return None if words is None else [x for f, n in features(set(words.split())).items() if f in index for x in (index[f], n)]
+
+    def run(batches):
+        for batch in batches:
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pydict({"label": batch.column(0), "own": pa.array([of(w.as_py()) for w in batch.column(1)], kind), "other": pa.array([of(w.as_py()) for w in batch.column(2)], kind)})
+
+    return run
+
+
+def chosen(bags: DataFrame, n1: int, n0: int, most: int = FEATURES) -> list[bytes]:
+    """The features with the strongest evidence for the label, and all of the identity terms that occur."""
+    identity = sorted({f for w in swaps() for f in features({w})})
+    counts = bags.mapInArrow(_counted, "feature binary, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = written(counts.filter((F.col("a") >= LEAST) | F.col("feature").isin(identity)), "features")
+    p = (F.col("a") + F.col("b") + 1) / F.lit(n1 + n0 + 2)
+    z = (F.col("a") / F.lit(n1) - F.col("b") / F.lit(n0)) / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0))
+    strong = counts.filter((F.col("a") >= LEAST) & (z >= EVIDENCE)).orderBy(z.desc(), "feature").limit(most).collect()
+    always = counts.filter(F.col("feature").isin(identity)).collect()
+    drop(counts)
+    return sorted({bytes(r.feature) for r in [*strong, *always]})
+
+
+def fit(names: list[bytes], rows: list[tuple[int, list[int], list[int] | None]], penalty: float = 10.0, ridge: float = 2e-4, steps: int = 400) -> Model:
+    """names: the features; rows: label, then features' numbers and counts of the text, and of the counterfactual if there is one."""
     y = np.array([r[0] for r in rows], np.float32)
     n1, n0 = float(y.sum()), float((1 - y).sum())
-    if not n1 or not n0:
-        p = (n1 + 0.5) / (n1 + n0 + 1)
-        return Model(math.log(p / (1 - p)), {})
-    # Bags are made anew in each pass: together they are large, and only toxic texts' features can be evidence.
-    df1, df0 = Counter(), Counter()
-    for label, words, _ in rows:
-        if label:
-            df1.update(features(set(words.split())).keys())
-    swapped = swaps()
-    identity = {f for w in swapped for f in features({w})}
-    df1 = Counter({f: n for f, n in df1.items() if n >= LEAST or f in identity})
-    for label, words, _ in rows:
-        if not label:
-            df0.update(f for f in features(set(words.split())) if f in df1 or f in identity)
-
-    def evidence(f: bytes) -> float:
-        """z-score of the difference of the two shares of texts with the feature."""
-        a, b = df1[f], df0[f]
-        p = (a + b + 1) / (n1 + n0 + 2)
-        return (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-
-    always = {f for f in identity if df1[f] + df0[f]}
-    strong = sorted((f for f in df1 if df1[f] >= LEAST and evidence(f) >= EVIDENCE), key=lambda f: (-evidence(f), f))[:most]
-    index = {f: k for k, f in enumerate(sorted({*strong, *always}))}
-
-    def matrix(texts: list[bytes]) -> np.ndarray:
-        m = np.zeros((len(texts), len(index)), np.float32)
-        for k, words in enumerate(texts):
-            for f, n in features(set(words.split())).items():
-                if f in index:
-                    m[k, index[f]] = n
+
+    def matrix(vectors: list[list[int]]) -> np.ndarray:
+        m = np.zeros((len(vectors), len(names)), np.float32)
+        for k, v in enumerate(vectors):
+            m[k, v[::2]] = v[1::2]
         return m
 
-    x = matrix([words for _, words, _ in rows])
+    x = matrix([own for _, own, _ in rows])
     other = [(k, z) for k, (_, _, z) in enumerate(rows) if z is not None]
-    gap = matrix([z for _, z in other]) - x[[k for k, _ in other]] if other else np.zeros((0, len(index)), np.float32)
+    gap = matrix([z for _, z in other]) - x[[k for k, _ in other]] if other else np.zeros((0, len(names)), np.float32)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
     pull, shrink = np.float32(2 * penalty / max(1, len(gap))), np.float32(ridge)
-    w, b, ahead_w, ahead_b = np.zeros(len(index), np.float32), 0.0, np.zeros(len(index), np.float32), 0.0
+    w, b, ahead_w, ahead_b = np.zeros(len(names), np.float32), 0.0, np.zeros(len(names), np.float32), 0.0
     # Nesterov's method; the step is one over a bound of the curvature, found by power iteration.
-    v = np.full(len(index), 1 / math.sqrt(max(1, len(index))), np.float32)
+    v = np.full(len(names), 1 / math.sqrt(max(1, len(names))), np.float32)
     for _ in range(30):
         v = 0.25 * (x.T @ (weight * (x @ v))) + pull * (gap.T @ (gap @ v))
         v /= np.linalg.norm(v) or 1
-    top = float(v @ (0.25 * (x.T @ (weight * (x @ v))) + pull * (gap.T @ (gap @ v)))) if len(index) else 0.0
+    top = float(v @ (0.25 * (x.T @ (weight * (x @ v))) + pull * (gap.T @ (gap @ v)))) if names else 0.0
     step = np.float32(1 / (1.1 * top + 0.25 + ridge))
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead_w + np.float32(ahead_b), -30, 30)))
@@ -127,31 +154,28 @@ def fit(rows: list[tuple[int, bytes, bytes | None]], most: int = FEATURES, penal
         m = np.float32(k / (k + 3))
         ahead_w, ahead_b = w2 + m * (w2 - w), b2 + float(m) * (b2 - b)
         w, b = w2, b2
-    return Model(float(b), {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6})
+    return Model(float(b), {f: float(w[k]) for k, f in enumerate(names) if abs(w[k]) > 1e-6})
 
 
-def _bags(families=IDENTITY):
-    swapped = swaps(families)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> Model:
+    """Fit on labelled documents; labels that are held out must be filtered before.
 
-    def run(batches):
-        for batch in batches:
-            names, words, others = [], [], []
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = words_of(t.as_py())
-                names.append(y)
-                words.append(b" ".join(sorted(set(own))))
-                others.append(b" ".join(sorted({swapped.get(w, w) for w in own})) if not swapped.keys().isdisjoint(own) else None)
-            yield pa.RecordBatch.from_pydict({"label": pa.array(names, pa.int32()), "words": pa.array(words, pa.binary()), "other": pa.array(others, pa.binary())})
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on labelled documents; labels that are held out must be filtered before."""
+    The sampled texts' bags of words stay in the shared folder; the driver gets the chosen features and, per sampled row,
+    the counts of those alone: at most 2 * sample rows of at most FEATURES (and identity) numbers, however long the texts.
+    """
     drawn = bounded_sample(labels.select(F.col(key).alias("k"), (F.col(label) > 0).cast("int").alias("label")), "label", "k", sample, "toxicity")
     joined = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("k")).select("label", "text")
-    rows = joined.mapInArrow(_bags(), "label int, words binary, other binary").collect()
-    return fit([(r[0], bytes(r[1]), None if r[2] is None else bytes(r[2])) for r in rows])
+    bags = written(joined.mapInArrow(_bags(), "label int, words binary, other binary").distinct(), "bags")
+    seen = {r[0]: r[1] for r in bags.groupBy("label").count().collect()}
+    n1, n0 = seen.get(1, 0), seen.get(0, 0)
+    if not n1 or not n0:
+        drop(bags)
+        p = (n1 + 0.5) / (n1 + n0 + 1)
+        return Model(math.log(p / (1 - p)), {})
+    names = chosen(bags, n1, n0)
+    rows = bags.mapInArrow(_vectors({f: k for k, f in enumerate(names)}), "label int, own array<int>, other array<int>").collect()
+    drop(bags)
+    return fit(names, sorted(((r[0], list(r[1]), None if r[2] is None else list(r[2])) for r in rows), key=repr), **options)
 
 
 def scorer(model: Model):
