@@ -8,13 +8,15 @@ are excluded below it.  Below the empty context all remaining bytes are alike.
 Where things are: words and byte strings are counted per shard of documents; only the distinct ones travel, to be summed
 over all training documents and to be priced.  Prices go back to the shards that asked for them, as one dictionary file per
 shard, and each document is scored beside its shard's dictionary.  So no task or driver ever holds the model, and what a
-task holds follows from the size of a shard.  A context's prices need those contexts that end in the same two bytes, and two
-small tables (at most 65,536 and 256 rows) of shorter ones.
+task holds follows from the size of a shard, which is bounded in characters.  A context's prices need those contexts that
+end in the same two bytes, and two small tables (at most 65,536 and 256 rows) of shorter ones.  However large the corpus, so
+many bytes apart there are at most 2 ** 24 codes; in text of a hundred different bytes, a million.
 
 The text that is scored is its words (maximal runs of anything but white space, A-Z lower-cased) with single spaces between,
 and an end; it stands for the same tokens as the base score's.  Edge cases: a null or empty text is an end alone; a null id
 counts as training (remainder 0); rows that repeat an id are documents of their own; with no training document every byte
-costs log10(256) and V and N are 0; an empty table gives an empty result; other columns play no part.
+costs log10(256) and V and N are 0; a very long text is scored whole beside a dictionary of its own; equal texts get equal
+scores; an empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from . import files
 from .common import crc_mod, scratch, ship, table, written
 
 ORDER = 4
-#: Documents that share one dictionary.
+#: A shard has at most 2 ** SHARD_BITS documents of up to SHORT characters; each doubling of the length halves the number, so
+#: that a shard's texts together have at most 2 ** SHARD_BITS * SHORT characters, or are one longer text.
 SHARD_BITS = 13
+SHORT = 1 << 14
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -209,7 +213,7 @@ class Prices:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, (4 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         claim, left, probe = np.full(1 << self.bits, -1, np.int64), np.arange(len(keys)), 0
         while len(left):
             at = self._at(keys[left], probe)
@@ -254,8 +258,12 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     ship(spark)
     to = scratch(spark, "ppm")
-    rows = docs.select(F.shiftright(F.monotonically_increasing_id(), SHARD_BITS).alias("shard"), held_out.alias("held"), F.col(text).alias("text"), F.col(key).alias("key"))
-    rows = written(rows, "ppm-rows")
+    rows = docs.select(F.monotonically_increasing_id().alias("at"), held_out.alias("held"), F.col(text).alias("text"), F.col(key).alias("key"))
+    longer = F.ceil(F.log2(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(SHORT)) / SHORT)).cast("int")
+    bits = F.greatest(F.lit(0), F.lit(SHARD_BITS) - longer)
+    # Shards of different sizes have different numbers, as each has its own last bits: one, then zeros.
+    shard = F.call_function("shiftleft", F.call_function("shiftright", F.col("at"), bits) * 2 + 1, bits)
+    rows = written(rows.select(shard.alias("shard"), "held", "text", "key").sortWithinPartitions("shard"), "ppm-rows")
     stats = written(rows.select("shard", "held", "text").mapInArrow(_count, "shard long, word binary, code long, n long"), "ppm-counts")
     words, codes = stats.filter("word is not null").select("shard", "word", "n"), stats.filter("code is not null").select("shard", "code", "n")
 
@@ -299,7 +307,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
                     known.append(int(np.count_nonzero(c)) + end_known)
                     base.append(float(np.log10(c + 0.5).sum()) + end_cost - floor * (len(own) + 1))
                 code, begins = coded([b" ".join(w) for w in split])
-                total.append(np.add.reduceat(price.of(code).astype(np.float64), begins[:-1]))
+                total.append(np.add.reduceat(price.of(code), begins[:-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(3), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), tokens_all, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(total) if total else [], pa.float64())],
                 names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

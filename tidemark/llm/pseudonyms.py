@@ -15,18 +15,23 @@ in all documents.  What the rules don't confirm stays as it is, and so does ever
 | date y-m-d, d.m.y, m/d/y | calendar, 1800 to 2199 | notation, padding | the 146,097 days of those years |
 | mail address | characters of its local part | domain, case, punctuation | letters and digits of the local part |
 
-Edge cases: a null text stays null and an empty one empty, with no value replaced; repeated rows give equal results; an
-empty table gives an empty result; other columns play no part.
+Edge cases: a null text stays null and an empty one empty, with no value replaced; repeated rows give equal results; a very
+long text is rewritten whole, in one task; of overlapping matches the leftmost counts, and of those the format named first
+in the pattern; an empty table gives an empty result; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 ROUNDS = 8
+KEY_SETTING = "spark.tidemark.pseudonyms.key"
+_drawn: dict[str, str] = {}
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _PHONE = r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])"
@@ -222,7 +227,7 @@ def _date(key: str, m: Column) -> Column:
 
 
 def _letters(key: str, word: Column) -> Column:
-    """Up to 26 lower-case letters permuted among those of that number; what is beyond 26 is permuted as another word."""
+    """Lower-case letters permuted among words of that length; of a longer word, every 24 letters are permuted by themselves."""
     def number(c: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.length(c)), F.lit(0).cast("bigint"), lambda acc, i: acc * 26 + F.ascii(F.substring(c, i, F.lit(1))) - 97)
 
@@ -246,7 +251,7 @@ def _email(key: str, m: Column) -> Column:
     def run(local: Column) -> Column:
         low = F.lower(local)
         letters = overlaid(low, "a-z", _let(only(low, "a-z"), lambda w: _letters(key, w)))
-        digits = _let(letters, lambda x: overlaid(x, "0-9", _let(F.substring(only(x, "0-9"), F.lit(1), F.lit(36)), lambda d: F.concat(permuted_digits(key, "mail", d), F.substring(only(x, "0-9"), F.lit(37), F.lit(64))))))
+        digits = _let(letters, lambda x: overlaid(x, "0-9", _let(only(x, "0-9"), lambda d: F.concat(*[permuted_digits(key, "mail", F.substring(d, F.lit(a), F.lit(36))) for a in (1, 37)]))))
         cased = _let(digits, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(F.substring(local, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substring(x, i, F.lit(1)))).otherwise(F.substring(x, i, F.lit(1)))), ""))
         return F.concat(cased, F.substring(m, F.length(local) + 1, F.length(m)))
 
@@ -288,18 +293,29 @@ def _pattern(text: Column) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The documents with the text rewritten and n_replaced added.  Texts without a digit or an @ are passed on unread."""
+    """The documents with the text rewritten and n_replaced added as the last column (with underscores before its name if a
+    column of that name came in).  Texts without a digit or an @ are passed on unread."""
     def cut(pattern: Column) -> Column:
         found = F.regexp_extract_all(F.col(text), pattern, F.lit(0))
         return _let(found, lambda f: F.when(F.size(f) > 0, F.struct(F.split(F.col(text), pattern, -1).alias("between"), f.alias("old"), F.transform(f, lambda m: pseudonym(key, m)).alias("new"))))
 
     parts = F.when(F.col(text).rlike("[0-9@]"), _let(_pattern(F.col(text)), cut))
     rest = [c for c in docs.columns if c != text]
-    held = docs.select(*rest, F.col(text), parts.alias("__parts"))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("__parts.between", F.lit(1), F.size("__parts.new")), F.col("__parts.new"), lambda a, b: F.concat(a, b)), ""), F.element_at("__parts.between", -1))
-    changed = F.aggregate(F.zip_with("__parts.old", "__parts.new", lambda a, b: (a != b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return held.select(*rest, F.when(F.col("__parts").isNull(), F.col(text)).otherwise(joined).alias(text), F.coalesce(changed, F.lit(0).cast("bigint")).alias("n_replaced"))
+    own, told = free_name(docs, "parts"), free_name(docs, "n_replaced")
+    held = docs.select(*rest, F.col(text), parts.alias(own))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(f"{own}.between", F.lit(1), F.size(f"{own}.new")), F.col(f"{own}.new"), lambda a, b: F.concat(a, b)), ""), F.element_at(f"{own}.between", -1))
+    changed = F.aggregate(F.zip_with(f"{own}.old", f"{own}.new", lambda a, b: (a != b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return held.select(*rest, F.when(F.col(own).isNull(), F.col(text)).otherwise(joined).alias(text), F.coalesce(changed, F.lit(0).cast("bigint")).alias(told))
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The secret key: the session's spark.tidemark.pseudonyms.key, or where that is unset one drawn for this application.
+
+    Pseudonyms can be undone with the key, so it stands in no source; to link values across applications, set it.
+    """
+    found = spark.conf.get(KEY_SETTING, None)
+    return found or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
 
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="tidemark")
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))
