@@ -251,26 +251,47 @@ def test_neighbours(spark):
     assert by[100] == list(range(101, 121)) or x[100] @ x[100] < (x @ x[100]).max()
     small, own = neighbours.build_index(df.filter("vec_id in (0, 20, 40)"))
     assert neighbours.search(small, own.select(F.col("id").alias("query_id"), "raw")).count() == 6
-    assert neighbours.build_index(df.limit(0))[0] == []
+    none, own = neighbours.build_index(df.limit(0))
+    assert none is None and neighbours.search(none, own.select(F.col("id").alias("query_id"), "raw")).count() == 0
+
+
+def clustered(n, width, clusters, seed):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(clusters, width))
+    x = c[rng.integers(0, clusters, n)] + 0.6 * rng.normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def recall_of(x, index, rows, **options):
+    got = collections.defaultdict(set)
+    for r in neighbours.search(index, rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "raw"), **options).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = [len(got[q] & set([k for k in np.argsort(-x @ x[q])[:21] if k != q][:20])) for q in range(0, len(x), 20)]
+    return sum(hit) / 20 / len(hit)
+
+
+def test_neighbours_by_graph_search(spark):
+    """One shard of many clusters that share no link: the walk finds them and compares a small share of the nodes."""
+    x = clustered(20_000, 32, 100, 8)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index, rows = neighbours.build_index(df)
+    assert len(index.files) == 1 and recall_of(x, index, rows) >= 0.9
+    shard, q = neighbours.Shard(*index.files.values()), x[::200].astype(np.float32)
+    shard.walk(q, neighbours.EF, 64)
+    assert shard.scored <= 0.1 * len(q) * len(x), shard.scored / len(q) / len(x)
 
 
 def test_neighbours_in_many_shards(spark, monkeypatch):
-    """Blocks are sized by the nodes of a shard: the start already finds the best of a shard that fits one block."""
-    x = np.random.default_rng(3).normal(size=(3_000, 12))
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    """Nodes are dealt by pivots, every query goes to a few shards, and a cell that outgrows a shard is several."""
+    x = clustered(6_000, 16, 40, 3)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    starts = []
-    whole = neighbours.build_graph
-    monkeypatch.setattr(neighbours, "SHARD_NODES", 100)
-    monkeypatch.setattr(neighbours, "build_graph", lambda nodes: starts.append(whole(nodes, rounds=0)) or starts[0])
+    monkeypatch.setattr(neighbours, "SHARD_NODES", 400)
     index, rows = neighbours.build_index(df)
-    assert len(index) == 30
-    assert {r["count"] for r in starts[0].groupBy("u").count().collect()} == {neighbours.DEGREE}
-    got = collections.defaultdict(set)
-    for r in neighbours.search(index, rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "raw"), ef=48).collect():
-        got[r.query_id].add(r.vec_id)
-    hit = sum(len(got[q] & set([k for k in np.argsort(-x @ x[q]) if k != q][:20])) for q in range(0, 3_000, 20))
-    assert hit >= 0.97 * 150 * 20
+    assert len(index.pivots) == 30 and index.sizes.sum() == 12_000 and recall_of(x, index, rows) >= 0.9
+    assert all(8 <= len(to) <= 8 + len(index.files) - 30 for to in index.route(x[:100], neighbours.PROBES, 160))
+    monkeypatch.setattr(neighbours, "PIVOTS", 3)
+    index, rows = neighbours.build_index(df.filter("vec_id < 3000"))
+    assert len(index.pivots) == 3 < len(index.files) and recall_of(x[:3_000], index, rows) >= 0.9
 
 
 def test_neighbours_beside_a_long_vector(spark):

@@ -3,14 +3,18 @@
 Vectors are stretched by one component to a common norm, so that neighbours by inner product are neighbours on a sphere.
 Directions are kept in half precision and norms in double, and stretched vectors are compared by their squared distance, not
 by their inner product, so that one long vector does not drown the differences between all others.
-Equal vectors are one node.  Nodes are dealt to shards of at most about SHARD_NODES by a hash, and each shard has a graph of
-its own.  NN-descent starts from the best neighbours within random blocks; each round joins every node's list with its
-members' vectors, compares neighbours of one node with each other (pairs with something new), and merges what beats the
-lists of those it concerns: joins of neighbours of neighbours, all in Spark, until few entries change.
-
-Queries are dealt to tasks in blocks; each task walks the shards' graphs one by one, from spread entry points, with a beam:
-the best unexpanded nodes are expanded until the beam's best EF nodes all are.  The nearest found are ranked in double
-precision on the original vectors.  Recall against brute force is in the README (at least 0.9 at 20 in the tests' data).
+Equal vectors are one node.  A hash draws pivots among the nodes, about one per SHARD_NODES / 2 nodes and at most PIVOTS;
+each node belongs to the cells of its two nearest pivots, and a cell is a shard, or several if it outgrows one.  Pivots are
+drawn from the nodes, so dense regions get more of them and cells stay alike in size.  Each shard has a graph of its own.
+NN-descent starts from the best neighbours within random blocks; each round joins every node's list with its members'
+vectors, compares neighbours of one node with each other (pairs with something new), and merges what beats the lists of
+those it concerns: joins of neighbours of neighbours, all in Spark, until few entries change.  When a shard is written, links
+that a nearer neighbour already covers are left out, so that the remaining ones lead in all directions.
+
+A query goes to the cells of its PROBES nearest pivots (and on, while those hold too few nodes); in each it walks the graph
+from the best of its entry points, one node in ENTRY, with a beam: the best unexpanded nodes are expanded until the beam's best EF nodes all are.  What
+the cells found is merged per query, ranked in double precision on the original vectors.  Recall against brute force and
+the share of nodes that a query scores are measured in the tests and stated in the README.
 
 Edge cases: vectors that are null, zero, of no component, or hold null or non-finite components take no part, nor do those
 of another length than most; rows without an id neither; rows that repeat an id and vector count once per row; equal
@@ -21,22 +25,30 @@ empty result; other columns play no part.
 from __future__ import annotations
 
 import io
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import ranked, scratch, ship, table, written
+from .common import drop, ranked, scratch, ship, table, written
 
 DEGREE = 32
+#: Links of a node in a shard's file, at most.
+LINKS = 32
 SHARD_NODES = 1 << 16
+#: Pivots are held by every task that deals nodes or queries: at most so many.
+PIVOTS = 1 << 14
+PROBES = 8
 BLOCK = 512
 ROUNDS = 8
 #: A round that changes fewer entries than this share of all ends the descent.
 STILL = 0.01
-EF = 1_500
+EF = 128
+#: One node of so many is compared with every query that comes to the shard, to start its walk.
+ENTRY = 32
 QUERY_BLOCK = 128
 
 
@@ -141,24 +153,45 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     starts = [nodes.groupBy("shard", block(F.col("node"), k)).applyInArrow(start, _EDGES) for k in range(2)]
     first = starts[0].union(starts[1]).withColumn("old", F.lit(False))
     edges = written(first.groupBy("shard", block(F.col("u"), 7)).applyInArrow(merge, _EDGES), "graph")
-    vectors = nodes.select(F.col("node").alias("n"), "half")
+    vectors = nodes.select(F.col("shard").alias("of"), F.col("node").alias("n"), "half")
     for _ in range(rounds):
-        floors = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"), F.max("new").alias("moved"))
-        about = written(vectors.join(floors, F.col("n") == F.col("u"), "left").select("n", "half", F.coalesce("floor", F.lit(float("-inf"))).cast("float").alias("floor"), F.coalesce("moved", F.lit(False)).alias("moved")), "floors")
+        floors = edges.groupBy("shard", "u").agg(F.when(F.count(F.lit(1)) >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"), F.max("new").alias("moved"))
+        about = written(vectors.join(floors, (F.col("of") == F.col("shard")) & (F.col("n") == F.col("u")), "left").select("of", "n", "half", F.coalesce("floor", F.lit(float("-inf"))).cast("float").alias("floor"), F.coalesce("moved", F.lit(False)).alias("moved")), "floors")
         # Each list holds its owner too: neighbours learn of those that name them.
         lists = edges.select("shard", F.col("u").alias("c"), F.col("v").alias("m"), "new").union(edges.groupBy("shard", "u").agg(F.max("new").alias("new")).select("shard", F.col("u").alias("c"), F.col("u").alias("m"), "new"))
-        active = about.filter("moved").select(F.col("n").alias("a"))
-        lists = lists.join(active, F.col("c") == F.col("a"), "left_semi")
-        joined = lists.join(about, F.col("m") == F.col("n")).select("shard", "c", F.col("m").alias("u"), "new", "floor", "half")
+        active = about.filter("moved").select(F.col("of").alias("at"), F.col("n").alias("a"))
+        lists = lists.join(active, (F.col("shard") == F.col("at")) & (F.col("c") == F.col("a")), "left_semi")
+        joined = lists.join(about, (F.col("shard") == F.col("of")) & (F.col("m") == F.col("n"))).select("shard", "c", F.col("m").alias("u"), "new", "floor", "half")
         found = joined.groupBy("shard", block(F.col("c"), 11)).applyInArrow(compare, _EDGES)
         both = found.withColumn("old", F.lit(False)).union(edges.withColumn("old", F.lit(True)))
-        edges = written(both.groupBy("shard", block(F.col("u"), 7)).applyInArrow(merge, _EDGES), "graph")
+        before, edges = edges, written(both.groupBy("shard", block(F.col("u"), 7)).applyInArrow(merge, _EDGES), "graph")
+        drop(before, about)
         changed = edges.agg(F.sum(F.col("new").cast("long")), F.count(F.lit(1))).first()
         if (changed[0] or 0) <= STILL * (changed[1] or 1):
             break
     return edges
 
 
+def spread(x: np.ndarray, short: np.ndarray, links: np.ndarray, most: int, least: int) -> np.ndarray:
+    """links: per node its neighbours, nearest first, -1 where there are fewer.  Leaves out those that a kept neighbour is nearer
+    to than the node itself is, but keeps the `least` nearest; -1 fills the rest of `most` columns."""
+    out = np.full((len(links), most), -1, np.int32)
+    for a in range(0, len(links), 512):
+        own = links[a : a + 512]
+        at = np.maximum(own, 0)
+        y, t = np.concatenate((x[at], x[a : a + 512, None]), axis=1), np.concatenate((short[at], short[a : a + 512, None]), axis=1)
+        far = -_nearness(y, t)
+        mine, far = far[:, -1, :-1], far[:, :-1, :-1]
+        keep = np.zeros(own.shape, bool)
+        for j in range(own.shape[1]):
+            covered = (keep[:, :j] & (far[:, :j, j] < mine[:, j, None])).any(axis=1)
+            keep[:, j] = (own[:, j] >= 0) & ((j < least) | ~covered) & (keep[:, :j].sum(axis=1) < most)
+        row, col = np.nonzero(keep)
+        place = np.cumsum(keep, axis=1)[row, col] - 1
+        out[a + row, place] = own[row, col]
+    return out
+
+
 def _write_shard(to: str, degree: int):
     """One shard's nodes (node, raw vector, members) and edges as a file."""
 
@@ -169,13 +202,15 @@ def _write_shard(to: str, degree: int):
         u, v, s = (np.searchsorted(ids, edges.column("u").to_numpy()), np.searchsorted(ids, edges.column("v").to_numpy()), edges.column("s").to_numpy()) if edges.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         # Walks go both ways along an edge; of many that name a node the nearest stay.
         a, b, _, _ = best(np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((s, s)), np.zeros(2 * len(u), bool), 2 * degree)
-        graph = np.tile(np.arange(len(ids), dtype=np.int32)[:, None], (1, 2 * degree))
+        graph = np.full((len(ids), 2 * degree), -1, np.int32)
         starts = np.searchsorted(a, np.arange(len(ids)))
         graph[a, np.arange(len(a)) - starts[a]] = b
+        graph = spread(*_unpacked(nodes.column("half")), graph, LINKS, 8)
+        graph = np.where(graph < 0, np.arange(len(ids), dtype=np.int32)[:, None], graph)
         members = nodes.column("members").to_pylist()
         data = io.BytesIO()
         np.savez(data, ids=ids, x=_matrix(nodes.column("raw"), "<f8"), graph=graph, members=np.array([m for own in members for m in own], np.int64), sizes=np.array([len(own) for own in members], np.int64))
-        return pa.table({"path": pa.array([files.put(f"{to}/shard-{shard}", data.getvalue())])})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "path": pa.array([files.put(f"{to}/shard-{shard}", data.getvalue())])})
 
     return run
 
@@ -186,16 +221,21 @@ class Shard:
         self.ids, self.x, self.graph, self.members = got["ids"], got["x"], got["graph"], got["members"]
         self.small = self.x.astype(np.float32)
         self.begins = np.concatenate(([0], np.cumsum(got["sizes"])))
+        #: Nodes compared with a query, over all walks.
+        self.scored = 0
 
     def walk(self, q: np.ndarray, ef: int, most: int, expand: int = 16) -> np.ndarray:
         """Positions of the `most` nearest nodes that a beam of ef finds for each query; -1 where there are fewer."""
         n, count = len(self.ids), len(q)
         ef = min(ef, n)
         seen = np.zeros((count, n), bool)
-        entry = np.unique(np.linspace(0, n - 1, min(n, 64)).astype(np.int64))
-        beam = np.tile(entry, (count, 1))
+        # Clusters apart from each other share no link, so walks start from the best of many nodes.
+        entry = np.unique(np.linspace(0, n - 1, min(n, max(64, n // ENTRY))).astype(np.int64))
         seen[:, entry] = True
-        score = q @ self.small[entry].T
+        score, beam = q @ self.small[entry].T, np.tile(entry, (count, 1))
+        if len(entry) > ef:
+            keep = np.argpartition(-score, ef - 1, axis=1)[:, :ef]
+            score, beam = np.take_along_axis(score, keep, axis=1), np.take_along_axis(beam, keep, axis=1)
         open_ = np.ones(beam.shape, bool)
         while open_.any():
             ready = np.where(open_, score, -np.inf)
@@ -221,43 +261,78 @@ class Shard:
             if score.shape[1] > ef:
                 keep = np.argpartition(-score, ef - 1, axis=1)[:, :ef]
                 score, beam, open_ = (np.take_along_axis(a, keep, axis=1) for a in (score, beam, open_))
+        self.scored += int(seen.sum())
         order = np.argsort(-score, axis=1, kind="stable")[:, :most]
         return np.where(np.take_along_axis(score, order, axis=1) > -np.inf, np.take_along_axis(beam, order, axis=1), -1)
 
 
+@dataclass
+class Index:
+    """pivots: their vectors, one row each; cells: per pivot its shards; sizes: nodes per pivot's cell; files: shard -> path."""
+
+    pivots: np.ndarray
+    cells: list[list[int]]
+    sizes: np.ndarray
+    files: dict[int, str]
+
+    def route(self, q: np.ndarray, probes: int, least: int) -> list[list[int]]:
+        """Shards for each query: the cells of its nearest pivots, and on while those hold fewer than `least` nodes."""
+        order = np.argsort(-(q @ self.pivots.T), axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1)
+        need = np.maximum(probes, (held < least).sum(axis=1) + 1)
+        return [[s for p in row[:n] for s in self.cells[p]] for row, n in zip(order.tolist(), need.tolist())]
+
+
 _shards: dict[str, Shard] = {}
 
 
-def search(index: list[str], queries: DataFrame, k: int = 20, ef: int = EF) -> DataFrame:
+def search(index: Index | None, queries: DataFrame, k: int = 20, ef: int = EF, probes: int = PROBES) -> DataFrame:
     """queries: query_id, raw.  The k nearest found: query_id, rank, vec_id, score; a query's own id is no candidate of it."""
+    spark = queries.sparkSession
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    paths = index.files
 
-    def run(batches):
+    def route(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(a, QUERY_BLOCK)
-                ids, q = part.column(0).to_numpy(), _matrix(part.column(1), "<f8")
-                lists: list[list[tuple[float, int]]] = [[] for _ in ids]
-                for uri in index:
-                    if uri not in _shards:
-                        _shards.clear()
-                        _shards[uri] = Shard(uri)
-                    shard = _shards[uri]
+                to = index.route(_matrix(part.column(1), "<f8"), probes, 8 * k)
+                at = np.repeat(np.arange(len(to)), [len(x) for x in to])
+                yield pa.RecordBatch.from_arrays([pa.array([s for x in to for s in x], pa.int64()), *(part.column(c).take(pa.array(at)) for c in (0, 1))], names=["shard", "query_id", "raw"])
+
+    def walk(batches):
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True])))
+            for start, end in zip(edges, edges[1:]):
+                uri = paths[int(shards[start])]
+                if uri not in _shards:
+                    _shards.clear()
+                    _shards[uri] = Shard(uri)
+                shard = _shards[uri]
+                for a in range(start, end, QUERY_BLOCK):
+                    part = batch.slice(a, min(QUERY_BLOCK, end - a))
+                    ids, q = part.column(1).to_numpy(), _matrix(part.column(2), "<f8")
                     found = shard.walk(q.astype(np.float32), ef, 2 * k + 24)
-                    for own, row, vector, to in zip(ids, found, q, lists):
+                    out: list[tuple[int, int, float]] = []
+                    for own, row, vector in zip(ids.tolist(), found, q):
                         row = row[row >= 0]
-                        for node, s in zip(row.tolist(), (shard.x[row] @ vector).tolist()):
-                            to += [(-s, m) for m in shard.members[shard.begins[node] : shard.begins[node + 1]].tolist() if m != own]
-                for own, to in zip(ids.tolist(), lists):
-                    to.sort()
-                    to = to[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(to), pa.int64()), pa.array(range(1, len(to) + 1), pa.int32()), pa.array([m for _, m in to], pa.int64()), pa.array([-s for s, _ in to], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
+                        to = [(-s, m) for node, s in zip(row.tolist(), (shard.x[row] @ vector).tolist()) for m in shard.members[shard.begins[node] : shard.begins[node + 1]].tolist() if m != own]
+                        out += [(own, m, -s) for s, m in sorted(to)[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    return queries.repartition(blocks).mapInArrow(run, "query_id long, rank int, vec_id long, score double")
+    asked = queries.select("query_id", "raw").mapInArrow(route, "shard long, query_id long, raw binary")
+    parts = max(1, min(len(paths) * 8, 20_000))
+    asked = asked.repartition(parts, "shard", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions("shard")
+    found = asked.mapInArrow(walk, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # A query's rows number k times its shards.
+    ranks = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", ranks.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> tuple[list[str], DataFrame]:
-    """Index all usable rows.  Returns the shards' files and the rows as written: id, raw (64-bit floats, little-endian)."""
+def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> tuple[Index | None, DataFrame]:
+    """Index all usable rows.  Returns the index and the rows as written: id, raw (64-bit floats, little-endian)."""
     spark = vectors.sparkSession
     ship(spark)
 
@@ -271,7 +346,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     rows = rows.filter(F.col("width") == (widths[0] if widths else 0))
     seen = rows.agg(F.max("square"), F.count(F.lit(1))).first()
     if not seen[1]:
-        return [], rows
+        return None, rows
     top = float(np.sqrt(seen[0]))
     classes = rows.groupBy("raw").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
@@ -279,18 +354,40 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     copies = rows.join(many, F.col("raw") == F.col("same")).select("node", "id")
     first = ranked(copies, ["node"], ["id"], "place", "copies").filter(F.col("place") <= k + 1)
     listed = first.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_list("id")).alias("list"))
-    shards = max(1, -(-classes.count() // SHARD_NODES))
-
-    @F.arrow_udf("binary")
-    def half(v: pa.Array) -> pa.Array:
-        return _packed(_matrix(v, "<f8"), top) if len(v) else pa.array([], pa.binary())
-
-    nodes = classes.join(listed, F.col("node") == F.col("of"), "left")
-    nodes = written(nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "raw", half("raw").alias("half"), F.coalesce("list", F.array("node")).alias("members")), "nodes")
+    count = classes.count()
+    wanted = 1 if count <= SHARD_NODES else min(PIVOTS, -(-2 * count // SHARD_NODES))
+    pivots = _matrix(pa.array([bytes(r[0]) for r in classes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("raw").collect()]), "<f8")
+    norm = np.minimum(np.linalg.norm(pivots, axis=1) / top, 1.0)
+    short = norm * norm / (1 + np.sqrt(1 - norm * norm))
+
+    @F.arrow_udf("struct<half: binary, pivots: array<long>>")
+    def dealt(v: pa.Array) -> pa.Array:
+        x = _matrix(v, "<f8")
+        near = []
+        for a in range(0, len(x), 1024):
+            y = x[a : a + 1024] / top
+            own = np.minimum(np.linalg.norm(y, axis=1), 1.0)
+            far = (own**2)[:, None] + norm**2 - 2 * (y @ (pivots / top).T) + ((own**2 / (1 + np.sqrt(1 - own**2)))[:, None] - short) ** 2
+            near.append(np.argsort(far, axis=1, kind="stable")[:, :2])
+        two = np.concatenate(near) if near else np.zeros((0, 1), np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, two.size + 1, two.shape[1], dtype=np.int32)), pa.array(two.ravel()))
+        return pa.StructArray.from_arrays([_packed(x, top) if len(x) else pa.array([], pa.binary()), lists], names=["half", "pivots"])
+
+    nodes = classes.join(listed, F.col("node") == F.col("of"), "left").select("node", "raw", dealt("raw").alias("to"), F.coalesce("list", F.array("node")).alias("members"))
+    nodes = written(nodes.select("node", "raw", "to.half", "members", F.explode("to.pivots").alias("pivot")), "dealt")
+    sizes = np.zeros(len(pivots), np.int64)
+    for r in nodes.groupBy("pivot").count().collect():
+        sizes[r[0]] = r[1]
+    # A cell that outgrows a shard twice is dealt to several by a hash.
+    parts = np.maximum(1, -(-sizes // (2 * SHARD_NODES)))
+    of = F.element_at(F.lit(parts.tolist()), (F.col("pivot") + 1).cast("int"))
+    nodes = written(nodes.select((F.col("pivot") * (1 << 24) + F.pmod(F.xxhash64("node"), of)).alias("shard"), "node", "raw", "half", "members"), "nodes")
     edges = build_graph(nodes.select("shard", "node", "half"))
     to = scratch(spark, "index")
-    made = nodes.select("shard", "node", "raw", "members").groupBy("shard").cogroup(edges.select("shard", "u", "v", "s").groupBy("shard")).applyInArrow(_write_shard(to, DEGREE), "path string")
-    return sorted(r[0] for r in written(made, "index-files").collect()), rows
+    made = nodes.groupBy("shard").cogroup(edges.select("shard", "u", "v", "s").groupBy("shard")).applyInArrow(_write_shard(to, DEGREE), "shard long, path string")
+    paths = {r[0]: r[1] for r in written(made, "index-files").collect()}
+    cells = [[p << 24 | j for j in range(parts[p]) if (p << 24 | j) in paths] for p in range(len(pivots))]
+    return Index(pivots, cells, sizes, paths), rows
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
