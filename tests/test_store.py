@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import CatalogError, ConflictError, ConstraintError, TransactionError
+from tidemark.errors import CatalogError, ConflictError, ConstraintError, TransactionError, Unsupported
 from tidemark.sources.store import Spec, Store, affinity
 
 
@@ -69,3 +69,75 @@ def test_stream_of_changes(store, spark):
     q = change_stream(spark, store.root).writeStream.format("memory").queryName("changes_seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("changes_seen").filter(F.col("kind") == "update").count() == 1
+
+
+def one_by_one(kept, new, keys, conflict):
+    """Rows written one after another."""
+    kept = list(kept)
+    for r in new:
+        clash = [k for k in kept if any(r[c] is not None and k[c] is not None and str(r[c]).lower() == str(k[c]).lower() for c in keys)]
+        if conflict == "replace":
+            kept = [k for k in kept if k not in clash] + [r]
+        elif not clash:
+            kept.append(r)
+    return sorted(kept, key=str)
+
+
+@pytest.mark.parametrize("conflict", ["ignore", "replace"])
+def test_batches_end_as_single_rows_would(store, spark, conflict):
+    import random
+
+    rng = random.Random(4)
+    for size in (3, 30):
+        new = [(rng.randint(1, 12), rng.choice(["a", "A", "b", "B", "c", "d", None]), rng.randint(0, 9)) for _ in range(size)]
+        before = rows(store)
+        store.insert("t", spark.createDataFrame(new, "id long, e string, n long").coalesce(1), conflict)
+        assert rows(store) == one_by_one(before, new, (0, 1), conflict)
+    s = Store(spark, store.root + "-pairs")
+    s.create_table("p", [Spec("a", unique=True), Spec("b", unique=True)])
+    s.insert("p", spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "a long, b long").coalesce(1), "ignore")
+    assert rows(s, "p") == [(1, 1), (2, 2)]
+
+
+def test_proposals_of_one_key_are_folded_in_order(store, spark):
+    new = spark.createDataFrame([(1, "a", 10), (9, "z", 1), (1, "a", 100), (9, "z", 2)], "id long, e string, n long").coalesce(1)
+    store.insert("t", new, "update", ["id"], {"n": "n * 2 + excluded_n"})
+    assert rows(store) == [(1, "a", 124), (2, None, 2), (9, "z", 4)]
+    with pytest.raises(Unsupported):
+        store.insert("t", spark.createDataFrame([(1, "a", 1)] * 65, "id long, e string, n long"), "update", ["id"], {"n": "1"})
+
+
+def test_ids_stay_ahead_of_keys(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "ids"))
+    s.create_table("t", [Spec("id", "INTEGER", primary_key=True), Spec("x")])
+    s.insert("t", spark.createDataFrame([(3, 0)], "id long, x long"))
+    s.insert("t", spark.createDataFrame([(1,), (2,)], "x long").coalesce(1))
+    assert rows(s) == [(3, 0), (4, 1), (5, 2)]
+    mixed = [None, 20, None, 7, None, 40, None, None]
+    s.insert("t", spark.createDataFrame([(i, 10 + k) for k, i in enumerate(mixed)], "id long, x long").repartitionByRange(3, "x").sortWithinPartitions("x"))
+    want, at = {}, 6
+    for k, i in enumerate(mixed):
+        want[10 + k] = at if i is None else i
+        at = max(at, want[10 + k] + 1)
+    assert {x: i for i, x in rows(s) if x >= 10} == want
+    s.update("t", {"id": "id + 100"}, "x = 0")
+    s.insert("t", spark.createDataFrame([(50,)], "x long"))
+    assert {x: i for i, x in rows(s)}[50] == 104 and {r["id"] for r in s.changes(s.version - 1).collect()} == {104}
+
+
+def test_commit_is_one_file(store, spark):
+    """An unfinished file of a crashed writer is no version, and stops nobody for long; a complete one refuses others."""
+    before, version = rows(store), store.version
+    fs, p = store._path(f"catalog/{version + 1:012d}.json")
+    fs.create(p, False).close()
+    assert store.version == version and rows(store) == before
+    with pytest.raises(ConflictError):
+        store.delete("t", "id = 1")
+    fs.setTimes(p, 1, -1)
+    store.delete("t", "id = 1")
+    assert store.version == version + 2 and len(rows(store)) == len(before) - 1
+    other = Store(spark, store.root)
+    state = other._get()
+    store.delete("t", "id = 2")
+    with pytest.raises(ConflictError):
+        other._put(state | {"version": state["version"] + 1})

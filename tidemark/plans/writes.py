@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,8 @@ from .registry import frame, read
 
 
 def store(spark: SparkSession) -> Store:
-    """A database of its own for one query, in the shared folder where there is one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-db-")
+    """A database of its own for one query, in the shared folder or else in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return Store(spark, f"{root.rstrip('/')}/db-{uuid.uuid4().hex}")
 
 
@@ -27,13 +26,16 @@ def nations(spark: SparkSession, d: str, conflict: str = "abort") -> Store:
 
 
 def proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Nations 0-9 again with n + 10, and two new ones."""
+    """Nations 0-9 again with n + 10; two new ones, one of them twice; and rows that agree with others on one key alone."""
     n = read(spark, d, "nation").filter("n_nationkey < 10").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") + 10).cast("bigint").alias("n"))
-    return n.union(spark.createDataFrame([(100, "ATLANTIS", 1), (101, "MU", 2)], "id bigint, name string, n bigint"))
+    more = [(100, "ATLANTIS", 1), (101, "MU", 2), (101, "MU", 40), (110, "THULE", 3), (111, "THULE", 4), (111, "AVALON", 5)]
+    return n.coalesce(1).union(spark.createDataFrame(more, "id bigint, name string, n bigint").coalesce(1))
 
 
 _OLD = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS n FROM nation"
-_NEW = "SELECT CAST(100 AS BIGINT) AS id, 'ATLANTIS' AS name, CAST(1 AS BIGINT) AS n UNION ALL SELECT 101, 'MU', 2"
+_NEW = "SELECT CAST(100 AS BIGINT) AS id, 'ATLANTIS' AS name, CAST(1 AS BIGINT) AS n UNION ALL SELECT 101, 'MU', 2 UNION ALL SELECT 110, 'THULE', 3 UNION ALL SELECT 111, 'AVALON', 5"
+#: As _NEW, where the last of rows that agree stays: 111 AVALON takes the place of 111 THULE, which had taken 110's.
+_LAST = "SELECT CAST(100 AS BIGINT) AS id, 'ATLANTIS' AS name, CAST(1 AS BIGINT) AS n UNION ALL SELECT 101, 'MU', 40 UNION ALL SELECT 111, 'AVALON', 5"
 
 
 @frame("d1_insert_values", f"{_OLD} UNION ALL SELECT 200, 'X', 0")
@@ -57,7 +59,7 @@ def d3(spark, d):
     return s.frame("t")
 
 
-@frame("d4_insert_or_replace", f"SELECT id, name, CASE WHEN id < 10 THEN n + 10 ELSE n END AS n FROM ({_OLD}) UNION ALL {_NEW}")
+@frame("d4_insert_or_replace", f"SELECT id, name, CASE WHEN id < 10 THEN n + 10 ELSE n END AS n FROM ({_OLD}) UNION ALL {_LAST}")
 def d4(spark, d):
     s = nations(spark, d)
     s.insert("t", proposals(spark, d), "replace")
@@ -67,14 +69,31 @@ def d4(spark, d):
 @frame("d5_on_conflict_do_nothing", f"{_OLD} UNION ALL {_NEW}")
 def d5(spark, d):
     s = nations(spark, d)
-    s.insert("t", proposals(spark, d), "nothing", ["id"])
+    s.insert("t", proposals(spark, d).filter("name <> 'THULE' OR id < 111"), "nothing", ["id"])
     return s.frame("t")
 
 
-@frame("d6_on_conflict_do_update", f"SELECT id, name, CASE WHEN id < 10 AND n > 1 THEN n + n + 10 ELSE n END AS n FROM ({_OLD}) UNION ALL {_NEW}")
+@frame(
+    "d6_on_conflict_do_update",
+    f"SELECT id, name, CASE WHEN id < 10 AND n > 1 THEN n + n + 10 ELSE n END AS n FROM ({_OLD}) UNION ALL "
+    "SELECT 100, 'ATLANTIS', 1 UNION ALL SELECT 101, 'MU', 42 UNION ALL SELECT 110, 'THULE', 3 UNION ALL SELECT 111, 'AVALON', 5 UNION ALL SELECT 120, 'LEMURIA', 1020",
+)
 def d6(spark, d):
     s = nations(spark, d)
-    s.insert("t", proposals(spark, d), "update", ["id"], {"n": "n + excluded_n"}, "n > 1")
+    again = spark.createDataFrame([(120, "LEMURIA", 20)] + [(120, "LEMURIA", 10**k) for k in range(2, 3)] * 10, "id bigint, name string, n bigint").coalesce(1)
+    s.insert("t", proposals(spark, d).filter("name <> 'THULE' OR id < 111").union(again), "update", ["id"], {"n": "n + excluded_n"}, "n > 1")
+    return s.frame("t")
+
+
+@frame("d3_d6_collated_keys", "SELECT 'a' AS name, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'B', 21 UNION ALL SELECT 'c', 5")
+def collated(spark, d):
+    """A NOCASE key is one key in any case, for IGNORE as for DO UPDATE."""
+    s = store(spark)
+    s.create_table("t", [Spec("name", "TEXT", unique=True, collation="NOCASE"), Spec("n")])
+    new = lambda *rows: spark.createDataFrame(rows, "name string, n bigint").coalesce(1)
+    s.insert("t", new(("a", 1), ("B", 1)))
+    s.insert("t", new(("A", 9), ("c", 5), ("C", 6)), "ignore")
+    s.insert("t", new(("b", 20)), "update", ["name"], {"n": "n + excluded_n"})
     return s.frame("t")
 
 
@@ -105,6 +124,16 @@ def d10(spark, d):
     return s.frame("t")
 
 
+@frame("d10_ids_beside_keys", "SELECT CAST(s_suppkey * 10 AS BIGINT) AS id, s_name AS name FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) * 10 FROM supplier) + row_number() OVER (ORDER BY n_name), n_name FROM nation")
+def d10_keys(spark, d):
+    """The counter stays ahead of keys that were given."""
+    s = store(spark)
+    s.create_table("t", [Spec("id", "INTEGER", primary_key=True), Spec("name", "TEXT")])
+    s.insert("t", read(spark, d, "supplier").select((F.col("s_suppkey") * 10).alias("id"), F.col("s_name").alias("name")))
+    s.insert("t", read(spark, d, "nation").select(F.col("n_name").alias("name")), order=[F.col("name")])
+    return s.frame("t")
+
+
 @frame("d11_constraints", "SELECT 'CHECK' AS kind, true AS refused UNION ALL SELECT 'NOT NULL', true UNION ALL SELECT 'UNIQUE', true")
 def d11(spark, d):
     from ..errors import ConstraintError
@@ -171,9 +200,16 @@ def x12(spark, d):
     return s.changes(since).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@frame("x3_lost", "SELECT false AS lost")
+@frame("x3_lost", "SELECT 'at the floor' AS since, false AS lost, CAST(4 AS BIGINT) AS n UNION ALL SELECT 'before the floor', true, 4")
 def x3(spark, d):
-    return spark.createDataFrame([(nations(spark, d).lost(0),)], "lost boolean")
+    """A log that keeps little: who asks from before its floor is told that changes are lost."""
+    s = store(spark)
+    s.create_table("t", [Spec("id"), Spec("n")])
+    s.keep, s.slack = 4, 0
+    for k in range(6):
+        s.insert("t", spark.createDataFrame([(k, k)], "id bigint, n bigint"))
+    floor = s.floor
+    return spark.createDataFrame([(name, s.lost(v), s.changes(v).count()) for name, v in (("at the floor", floor), ("before the floor", floor - 1))], "since string, lost boolean, n bigint")
 
 
 @frame("x5_event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -1,25 +1,35 @@
-"""Managed tables: versioned Parquet folders and one catalog file, swapped as a whole.
-
-A write computes the next state of a table as a DataFrame, checks its constraints, writes a new version, and then replaces
-the catalog, which names the version of every table.  Readers keep the version they began with.  A writer whose catalog has
-been replaced meanwhile gets a ConflictError: the first to commit wins.  Row ids come from one counter of the database and
-are never used again.  Every commit appends to a change log: version, table, row id, kind, without payload.
+"""Managed tables: versioned Parquet folders and one catalog file per version.
+
+A write computes the next state of a table as a DataFrame, checks its constraints, writes a new version, and then creates
+the next catalog file, which names the version of every table: that file is the commit, and the highest complete one is what
+readers see.  Readers keep the version they began with.  Only one writer can create a version's file; the others get a
+ConflictError.  Row ids come from one counter of the database, which stays ahead of every key that was given, and are never
+used again.  Every commit appends to a change log: version, table, row id, kind, without payload.  Writes of many rows end
+as if the rows had been written one by one, in their order.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import CatalogError, ConflictError, ConstraintError, TransactionError, Unsupported
+from ..errors import CatalogError, ConflictError, ConstraintError, StorageError, TransactionError, Unsupported
 
 ROW = "__rowid__"
 KEEP = 4096
+#: Catalog files that stay, for readers that are about to open one.
+KEPT_CATALOGS = 16
+#: Milliseconds after which an unfinished catalog file counts as a crashed writer's.
+GRACE = 10_000
+#: Proposals of one key in a batch of DO UPDATE, at most: each takes a round.
+ROUNDS = 64
 _LOG = "version long, table string, id long, kind string"
 
 
@@ -84,7 +94,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._staged: dict | None = None
-        if not self._exists("catalog.json"):
+        #: Change-log entries that are kept, and how many more may gather before the log is cut.
+        self.keep, self.slack = KEEP, 64
+        if not self._versions():
             self._put({"version": 0, "next": 1, "floor": 0, "log": [], "tables": {}})
 
     # Files, through Hadoop, whichever store holds them.
@@ -93,32 +105,55 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _exists(self, name: str) -> bool:
-        fs, p = self._path(name)
-        return fs.exists(p)
+    def _versions(self) -> dict[int, int]:
+        """Catalog files by version, with the milliseconds since each was last written."""
+        fs, p = self._path("catalog")
+        now = int(time.time() * 1000)
+        return {int(f.getPath().getName()[:-5]): now - f.getModificationTime() for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")} if fs.exists(p) else {}
 
-    def _get(self) -> dict:
-        fs, p = self._path("catalog.json")
-        f = fs.open(p)
+    def _read(self, version: int) -> dict | None:
+        """A catalog file's content; None where its writer has not ended."""
+        fs, p = self._path(f"catalog/{version:012d}.json")
         try:
-            return json.loads(bytes(f.readAllBytes()).decode())
-        finally:
-            f.close()
+            f = fs.open(p)
+            try:
+                return json.loads(bytes(f.readAllBytes()).decode())
+            finally:
+                f.close()
+        except (ValueError, Py4JJavaError):  # cut off, or dropped as too old since it was listed
+            return None
+
+    def _get(self) -> dict:
+        for version in sorted(self._versions(), reverse=True):
+            if (state := self._read(version)) is not None:
+                return state
+        raise StorageError("no catalog can be read")
 
     def _put(self, state: dict) -> None:
-        """Write aside, then rename over the old file; the claim on the version keeps a second writer out."""
-        fs, claim = self._path(f"claims/{state['version']}")
-        if state["version"] and not fs.createNewFile(claim):
+        """Create the version's file, which only one writer can: that is the commit.
+
+        A file that a crashed writer has left unfinished is no version; after GRACE it no longer keeps others out, and
+        a writer that was only slow sees the later version and takes its own for refused.
+        """
+        seen = self._versions()
+        dead = [v for v, age in seen.items() if v >= state["version"] and self._read(v) is None and age > GRACE]
+        if any(v >= state["version"] and v not in dead for v in seen):
             raise ConflictError("another writer has committed this version")
-        _, aside = self._path(f".catalog-{uuid.uuid4().hex}")
-        out = fs.create(aside, True)
+        state["version"] = max([state["version"], *(v + 1 for v in dead)])
+        fs, p = self._path(f"catalog/{state['version']:012d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            raise ConflictError("another writer has committed this version") from e
         out.write(json.dumps(state).encode())
         out.close()
-        _, p = self._path("catalog.json")
-        if fs.exists(p):
+        after = self._versions()
+        if max(after) > state["version"]:
             fs.delete(p, False)
-        if not fs.rename(aside, p):
-            raise ConflictError("the catalog could not be replaced")
+            raise ConflictError("another writer has committed since")
+        for v in sorted(after)[:-KEPT_CATALOGS]:
+            old, q = self._path(f"catalog/{v:012d}.json")
+            old.delete(q, False)
 
     # State
 
@@ -160,9 +195,9 @@ class Store:
             raise ConflictError("another writer has committed since")
         state["version"] += 1
         state["log"] = state["log"] + [{"version": state["version"], "path": p} for p in pending]
-        if len(state["log"]) > KEEP + 64:
-            state["floor"] = state["log"][-KEEP - 1]["version"]
-            state["log"] = state["log"][-KEEP:]
+        if len(state["log"]) > self.keep + self.slack:
+            state["floor"] = state["log"][-self.keep - 1]["version"]
+            state["log"] = state["log"][-self.keep :]
         self._put(state)
         return state["version"]
 
@@ -282,26 +317,41 @@ class Store:
 
     # Writes
 
-    def _numbered(self, df: DataFrame, state: dict, order: Sequence[Column] = ()) -> DataFrame:
-        """Row ids from the database's counter, in the rows' order.  Ids in order need one sort; without, rows keep their places."""
-        start = state["next"]
+    def _numbered(self, rows: DataFrame, state: dict, table: Table, order: Sequence[Column] = ()) -> DataFrame:
+        """Row ids: an INTEGER PRIMARY KEY where it is given, else the database's counter, which stays ahead of every key before.
+
+        Rows count in the given order, or in their places.  No task counts another's rows: they are dealt by ranges of the
+        order and written, each task's rows are numbered alone, and one row per task tells what comes before it.
+        """
+        key = next((s.name for s in table.columns if s.primary_key and affinity(s.type) == "INTEGER"), None)
         if order:
-            out = df.withColumn(ROW, F.row_number().over(Window.orderBy(*order)) + start - 1)
-            state["next"] = start + df.count()
-            return out
-        # No task counts for another: an id is a multiple of the tasks' number, shifted by the task.
-        df = df.withColumn("__at", F.monotonically_increasing_id())
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = rows.withColumn("__at", F.monotonically_increasing_id())
         kept = f"{self.root}/batches/{uuid.uuid4().hex}"
-        df.write.parquet(kept)
-        df = self.spark.read.schema(df.schema).parquet(kept)
-        sizes = {r[0]: r[1] for r in df.groupBy(F.shiftright("__at", 33)).count().collect()}
-        base, at = [], start
-        for task in sorted(sizes):
-            base += [F.lit(task), F.lit(at)]
-            at += sizes[task]
-        state["next"] = at
-        first = F.element_at(F.create_map(*base), F.shiftright("__at", 33)) if base else F.lit(start)
-        return df.withColumn(ROW, first + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
+        rows.write.parquet(kept)
+        rows = self.spark.read.schema(rows.schema).parquet(kept).withColumn("__task", F.shiftright("__at", 33))
+        given = F.col(key) if key else F.lit(None).cast("bigint")
+        known = rows.agg(F.count(given)).first()[0]
+        if known:
+            before = Window.partitionBy("__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn("__nulls", F.coalesce(F.sum(given.isNull().cast("bigint")).over(before), F.lit(0)))
+            # Behind a given key the counter is that key + 1, and one more for each row since that it has numbered.
+            rows = rows.withColumn("__ahead", F.max(given + 1 - F.col("__nulls")).over(before))
+        else:
+            rows = rows.withColumn("__nulls", F.col("__at").bitwiseAND((1 << 33) - 1)).withColumn("__ahead", F.lit(None).cast("bigint"))
+        ends = rows.groupBy("__task").agg(F.sum(given.isNull().cast("bigint")).alias("nulls"), F.max(given + 1 - F.col("__nulls")).alias("ahead")).orderBy("__task").collect()
+        past, nulls, top = [], 0, state["next"]
+        for r in ends:
+            past.append((r[0], nulls, top))
+            top = max(top, (r["ahead"] - nulls) if r["ahead"] is not None else top)
+            nulls += r["nulls"]
+        state["next"] = top + nulls
+        if not past:
+            return rows.drop("__at", "__task", "__nulls", "__ahead").withColumn(ROW, F.lit(None).cast("bigint"))
+        of = lambda k: F.element_at(F.create_map(*[F.lit(x) for p in past for x in (p[0], p[k])]), F.col("__task"))
+        number = F.greatest(of(2), F.col("__ahead") - of(1)) + of(1) + F.col("__nulls")
+        out = rows.withColumn(ROW, F.coalesce(given.cast("bigint"), number).cast("bigint")).drop("__at", "__task", "__nulls", "__ahead")
+        return out.withColumn(key, F.col(ROW).cast(table.spec(key).spark)) if key else out
 
     def _completed(self, rows: DataFrame, table: Table) -> DataFrame:
         given = {c.lower(): c for c in rows.columns}
@@ -326,21 +376,53 @@ class Store:
         self._check_unique(df, table.keys(), table)
 
     @staticmethod
-    def _check_unique(df: DataFrame, groups: Sequence[Sequence[str]], table: Table) -> None:
+    def _folded(table: Table, group: Sequence[str]) -> list[Column]:
+        """The group's columns as its uniqueness compares them."""
         from ..functions.scalar import fold
 
+        return [fold(c, table.spec(c).collation) if table.spec(c).spark == "string" else F.col(c) for c in group]
+
+    def _check_unique(self, df: DataFrame, groups: Sequence[Sequence[str]], table: Table) -> None:
         for g in groups:
-            keys = [fold(c, table.spec(c).collation) if table.spec(c).spark == "string" else F.col(c) for c in g]
-            some = df.dropna(subset=list(g))
-            if not some.groupBy(*keys).count().filter("count > 1").isEmpty():
+            if not df.dropna(subset=list(g)).groupBy(*self._folded(table, g)).count().filter("count > 1").isEmpty():
                 raise ConstraintError(f"UNIQUE failed: {', '.join(g)}")
 
-    def _keyed(self, rows: DataFrame, table: Table) -> DataFrame:
-        """An INTEGER PRIMARY KEY is the row id: given, it is kept; missing, the counter gives it."""
-        for s in table.columns:
-            if s.primary_key and affinity(s.type) == "INTEGER":
-                return rows.withColumn(s.name, F.coalesce(F.col(s.name), F.col(ROW)))
-        return rows
+    def _with_keys(self, df: DataFrame, table: Table, groups: Sequence[Sequence[str]]) -> DataFrame:
+        """Adds per group a struct of its folded columns, NULL where one of them is: NULLs never agree."""
+        return df.withColumns({f"__k{k}": F.when(_all_known(g), F.struct(*[c.alias(f"c{j}") for j, c in enumerate(self._folded(table, g))])) for k, g in enumerate(groups)})
+
+    def _staging(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/batches/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @staticmethod
+    def _without(rows: DataFrame, others: DataFrame, k: int) -> DataFrame:
+        """Rows whose key of group k no other row has."""
+        keys = others.filter(F.col(f"__k{k}").isNotNull()).select(F.col(f"__k{k}").alias("__theirs"))
+        return rows.join(keys, F.col(f"__k{k}") == F.col("__theirs"), "left_anti")
+
+    def _unless_taken(self, new: DataFrame, old: DataFrame, table: Table, groups: Sequence[Sequence[str]]) -> DataFrame:
+        """The rows that inserting one by one would keep: those no earlier kept row, old or new, agrees with on any group.
+
+        Each round keeps the rows that come first for all their keys, and drops those that agree with them.
+        """
+        left, old = self._with_keys(new, table, groups), self._with_keys(old, table, groups)
+        for k in range(len(groups)):
+            left = self._without(left, old, k)
+        left, kept = self._staging(left), None
+        while not left.isEmpty():
+            first = left
+            for k in range(len(groups)):
+                least = left.filter(F.col(f"__k{k}").isNotNull()).groupBy(f"__k{k}").agg(F.min("__seq").alias("__least")).withColumnRenamed(f"__k{k}", "__of")
+                first = first.join(least, F.col(f"__k{k}") == F.col("__of"), "left").filter(F.col("__least").isNull() | (F.col("__least") == F.col("__seq"))).drop("__of", "__least")
+            first = self._staging(first)
+            kept = first if kept is None else kept.unionByName(first)
+            left = left.join(first.select(F.col("__seq").alias("__done")), F.col("__seq") == F.col("__done"), "left_anti")
+            for k in range(len(groups)):
+                left = self._without(left, first, k)
+            left = self._staging(left)
+        return (left if kept is None else kept).drop(*[f"__k{k}" for k in range(len(groups))])
 
     def insert(self, name: str, rows: DataFrame, conflict: str = "abort", target: Sequence[str] | None = None, update: dict[str, str] | None = None, where: str | None = None, order: Sequence[Column] = ()) -> DataFrame:
         """conflict: abort, ignore, replace, nothing or update.  In `update`, excluded_<column> is the proposed value.
@@ -348,7 +430,12 @@ class Store:
         Returns the rows written, as they are afterwards.
         """
         table, real, state = self.table(name), self._real(name), self.state
-        new = self._keyed(self._numbered(self._completed(rows, table), state, order), table)
+        rows = self._completed(rows, table)
+        if conflict == "ignore":
+            rows = rows.filter(self._violation(table).isNull())
+        # Row ids may repeat where keys do, so the rows' own order is told by another number.
+        new = self._numbered(rows, state, table, order).withColumn("__seq", F.monotonically_increasing_id())
+        new = self._staging(new)
         old = self.frame(name, True)
         groups = [list(target)] if target else table.keys()
         names = [s.name for s in table.columns]
@@ -356,38 +443,27 @@ class Store:
             for s in table.columns:
                 if s.not_null and s.default is not None:
                     new = new.withColumn(s.name, F.coalesce(F.col(s.name), F.expr(s.default).cast(s.spark)))
-        if conflict == "ignore":
-            new = new.filter(self._violation(table).isNull())
-        kinds = new.select(F.col(ROW).alias("id"), F.lit("insert").alias("kind"))
         if conflict in ("ignore", "nothing"):
-            for g in groups:
-                new = self._anti(new, old, g)
-                new = self._one_each(new, g, last=False)
-            out, after = new, old.unionByName(new)
-            kinds = new.select(F.col(ROW).alias("id"), F.lit("insert").alias("kind"))
+            out = self._unless_taken(new, old, table, groups).drop("__seq")
+            after, kinds = old.unionByName(out), out.select(F.col(ROW).alias("id"), F.lit("insert").alias("kind"))
         elif conflict == "replace":
-            kept = old
-            for g in groups:
-                new = self._one_each(new, g, last=True)
-                kept = self._anti(kept, new, g)
-            out, after = new, kept.unionByName(new)
+            # Every row is inserted in its turn, so a row stays if no later one agrees with it on any group.
+            keyed, kept = self._with_keys(new, table, groups), self._with_keys(old, table, groups)
+            out = keyed
+            for k in range(len(groups)):
+                last = keyed.filter(F.col(f"__k{k}").isNotNull()).groupBy(f"__k{k}").agg(F.max("__seq").alias("__last")).withColumnRenamed(f"__k{k}", "__of")
+                out = out.join(last, F.col(f"__k{k}") == F.col("__of"), "left").filter(F.col("__last").isNull() | (F.col("__last") == F.col("__seq"))).drop("__of", "__last")
+                kept = self._without(kept, keyed, k)
+            out, kept = out.select(*names, ROW), kept.select(*names, ROW)
             gone = old.join(kept.select(F.col(ROW).alias("__kept")), F.col(ROW) == F.col("__kept"), "left_anti")
-            kinds = new.select(F.col(ROW).alias("id"), F.lit("insert").alias("kind")).union(gone.select(ROW, F.lit("delete")))
+            after, kinds = kept.unionByName(out), gone.select(F.col(ROW).alias("id"), F.lit("delete").alias("kind")).union(out.select(ROW, F.lit("insert")))
         elif conflict == "update":
             if not target or not update:
                 raise Unsupported("DO UPDATE takes a conflict target and assignments")
-            new = self._one_each(new, groups[0], last=True)
-            proposed = new.select(*[F.col(c).alias(f"excluded_{c}") for c in [*names, ROW]])
-            both = old.join(proposed, self._same(old, proposed, groups[0], "excluded_"), "full_outer")
-            matched, fresh = F.col(ROW).isNotNull() & F.col(f"excluded_{ROW}").isNotNull(), F.col(ROW).isNull()
-            does = matched & (F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True))
-            values = [F.when(fresh, F.col(f"excluded_{s.name}")).when(does, F.expr(update[s.name]).cast(s.spark) if s.name in update else F.col(s.name)).otherwise(F.col(s.name)).alias(s.name) for s in table.columns]
-            after = both.select(*values, F.coalesce(F.col(ROW), F.col(f"excluded_{ROW}")).alias(ROW), fresh.alias("__new"), does.alias("__upd"))
-            out = after.filter("__new OR __upd")
-            kinds = out.select(F.col(ROW).alias("id"), F.when(F.col("__new"), "insert").otherwise("update").alias("kind"))
-            out, after = out.drop("__new", "__upd"), after.drop("__new", "__upd")
+            after, out, kinds = self._upserted(old, new, table, groups[0], {table.spec(c).name: e for c, e in update.items()}, where)
         elif conflict == "abort":
-            out, after = new, old.unionByName(new)
+            out = new.drop("__seq")
+            after, kinds = old.unionByName(out), out.select(F.col(ROW).alias("id"), F.lit("insert").alias("kind"))
         else:
             raise Unsupported(f"conflict clause {conflict!r}")
         self._check(after, table)
@@ -395,25 +471,36 @@ class Store:
         self._save(state, real, table, kinds)
         return out.drop(ROW)
 
-    @staticmethod
-    def _same(left: DataFrame, right: DataFrame, group: Sequence[str], prefix: str = "__r_") -> Column:
-        same = F.lit(True)
-        for c in group:
-            same = same & (left[c] == right[f"{prefix}{c}"])
-        return same
-
-    def _anti(self, rows: DataFrame, other: DataFrame, group: Sequence[str]) -> DataFrame:
-        keys = other.dropna(subset=list(group)).select(*[F.col(c).alias(f"__r_{c}") for c in group])
-        return rows.join(keys, self._same(rows, keys, group), "left_anti")
+    def _upserted(self, old: DataFrame, new: DataFrame, table: Table, group: Sequence[str], update: dict[str, str], where: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The table after the proposals of each key in their order, the rows that any of them wrote, and the changes.
 
-    @staticmethod
-    def _one_each(rows: DataFrame, group: Sequence[str], last: bool) -> DataFrame:
-        """Of rows that agree on the group the first or last stays; NULLs never agree."""
-        some = rows.dropna(subset=list(group))
-        pick = (F.max if last else F.min)(ROW)
-        kept = some.groupBy(*group).agg(pick.alias("__keep")).select("__keep")
-        loose = rows.filter(~_all_known(group))
-        return some.join(kept, F.col(ROW) == F.col("__keep"), "left_semi").unionByName(loose)
+        The n-th proposals of all keys are one round, which sees what the rounds before have made.
+        """
+        names = [s.name for s in table.columns]
+        new = self._with_keys(new, table, [group])
+        loose, new = new.filter("__k0 IS NULL"), new.filter("__k0 IS NOT NULL")
+        most = new.groupBy("__k0").count().agg(F.max("count")).first()[0] or 0
+        if most > ROUNDS:
+            raise Unsupported(f"a batch with more than {ROUNDS} proposals of one key")
+        new = new.withColumn("__turn", F.row_number().over(Window.partitionBy("__k0").orderBy("__seq")))
+        after = old.withColumn("__wrote", F.lit(False))
+        kinds = None
+        for turn in range(1, most + 1):
+            current = self._with_keys(after, table, [group])
+            proposed = new.filter(F.col("__turn") == turn).select(*[F.col(c).alias(f"excluded_{c}") for c in [*names, ROW]], F.col("__k0").alias("__theirs"))
+            both = current.join(proposed, F.col("__k0") == F.col("__theirs"), "full_outer")
+            fresh = F.col(ROW).isNull()
+            does = ~fresh & F.col("__theirs").isNotNull() & (F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True))
+            values = [F.when(fresh, F.col(f"excluded_{s.name}")).when(does, F.expr(update[s.name]).cast(s.spark) if s.name in update else F.col(s.name)).otherwise(F.col(s.name)).alias(s.name) for s in table.columns]
+            row = F.coalesce(F.col(ROW), F.col(f"excluded_{ROW}")).alias(ROW)
+            kind = F.when(fresh, "insert").when(does, "update")
+            made = self._staging(both.select(*values, row, (F.coalesce("__wrote", F.lit(False)) | fresh | does).alias("__wrote"), kind.alias("__kind")))
+            told = made.filter("__kind IS NOT NULL").select(F.col(ROW).alias("id"), F.col("__kind").alias("kind"))
+            kinds, after = told if kinds is None else kinds.union(told), made.drop("__kind")
+        loose = loose.select(*names, ROW, F.lit(True).alias("__wrote"))
+        told = loose.select(F.col(ROW).alias("id"), F.lit("insert").alias("kind"))
+        after = after.unionByName(loose)
+        return after.drop("__wrote"), after.filter("__wrote").drop("__wrote"), told if kinds is None else kinds.union(told)
 
     def update(self, name: str, assignments: dict[str, str], where: str | None = None) -> DataFrame:
         """Every expression sees the old row.  Returns the rows as they are afterwards."""
@@ -422,9 +509,13 @@ class Store:
         wanted = {table.spec(c).name: e for c, e in assignments.items()}
         old = self.frame(name, True)
         after = old.select(*[F.when(does, F.expr(wanted[s.name]).cast(s.spark)).otherwise(F.col(s.name)).alias(s.name) if s.name in wanted else F.col(s.name) for s in table.columns], ROW, does.alias("__upd"))
+        key = next((s.name for s in table.columns if s.primary_key and affinity(s.type) == "INTEGER" and s.name in wanted), None)
+        if key:  # the key is the row id
+            after = after.withColumn(ROW, F.coalesce(F.col(key).cast("bigint"), F.col(ROW)))
+            state["next"] = max(state["next"], (after.agg(F.max(ROW)).first()[0] or 0) + 1)
         self._check(after.drop("__upd"), table)
+        touched = self._staging(after.filter("__upd").select(F.col(ROW).alias("__touched")))
         self._write(real, after, table)
-        touched = old.filter(does).select(F.col(ROW).alias("__touched"))
         self._save(state, real, table, touched.select(F.col("__touched").alias("id"), F.lit("update").alias("kind")))
         return self.frame_of(table).join(touched, F.col(ROW) == F.col("__touched"), "left_semi").drop(ROW)
 
@@ -449,8 +540,13 @@ class Store:
         paths = [e["path"] for e in self._get()["log"] if e["version"] > since]
         return self.spark.read.schema(_LOG).parquet(*paths) if paths else self.spark.createDataFrame([], _LOG)
 
+    @property
+    def floor(self) -> int:
+        """The version after which the log has every change."""
+        return self._get()["floor"]
+
     def lost(self, since: int) -> bool:
-        return since < self._get()["floor"]
+        return since < self.floor
 
     def vacuum(self, to: str) -> Store:
         """A compact copy of the database in another folder."""
