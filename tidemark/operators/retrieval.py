@@ -7,11 +7,11 @@ corpus statistics, which travel as a single row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def tokens(c: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     low = query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return [w for w in re.split(r"[\W_]+", low) if w]
+    return [w for w in regex.split(r"[^\p{Alphabetic}\p{N}]+", low) if w]
 
 
 def bm25(df: DataFrame, columns: str | Sequence[str], query: str, key: str, k: int | None = None, where: Column | None = None, name: str = "score") -> DataFrame:
@@ -127,20 +127,24 @@ def quantised_score(c: Column, q: Sequence[float]) -> Column:
 
 
 def _hashed(text: str | None, dim: int) -> list[float] | None:
+    """FNV-1a over the trigrams' characters, four little-endian bytes each; the hash's top bit is the sign."""
     if text is None:
         return None
-    low, out = f" {text.lower()} ", np.zeros(dim)
-    for k in range(len(low) - 2):
+    plain, out = [c if regex.match(r"[\p{Alphabetic}\p{N}]", c) else " " for c in text], np.zeros(dim, np.float32)
+    low = [c.lower() if "A" <= c <= "Z" else c for c in plain]
+    for three in zip(low, low[1:], low[2:]):
+        if three == (" ", " ", " "):
+            continue
         h = 0xCBF29CE484222325
-        for b in low[k : k + 3].encode():
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        for byte in "".join(three).encode("utf-32-le", "surrogatepass"):
+            h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
         out[h % dim] += -1.0 if h >> 63 else 1.0
-    norm = np.linalg.norm(out)
+    norm = np.sqrt((out * out).sum(dtype=np.float32))
     return (out / norm if norm else out).tolist()
 
 
 def hashed_embedding(c: Column | str, dim: int = 64) -> Column:
-    """Character trigrams hashed into dim signed buckets, scaled to length one."""
+    """Character trigrams hashed into dim signed buckets, scaled to length one; a text under three characters is all zeros."""
 
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
@@ -149,6 +153,27 @@ def hashed_embedding(c: Column | str, dim: int = 64) -> Column:
     return run(F.col(c) if isinstance(c, str) else c)
 
 
+def trained_centres(df: DataFrame, column: str, key: str, n: int, sample: int = 4_096, rounds: int = 5) -> list[list[float]]:
+    """Centres by Lloyd's rounds over a bounded sample of the directions, the same on every run."""
+    drawn = df.filter(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(column).collect()
+    x = np.array([r[0] for r in drawn], float)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centres = x[:n].copy()
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        for c in np.unique(own):
+            centres[c] = x[own == c].mean(axis=0)
+            centres[c] /= np.linalg.norm(centres[c]) or 1
+    return centres.tolist()
+
+
+def paged(df: DataFrame, column: str, centres: Sequence[Sequence[float]], to: str) -> DataFrame:
+    """The rows as a paged index: one folder per bucket, of which a search reads those that it probes."""
+    bucketed(df, column, centres).write.partitionBy("bucket").parquet(to)
+    return df.sparkSession.read.parquet(to)
+
+
 def bucketed(df: DataFrame, column: str, centres: Sequence[Sequence[float]], name: str = "bucket") -> DataFrame:
     """Each row with its nearest centre: the layout of a paged index, to be written partitioned by bucket."""
     best = F.array_max(F.array(*[F.struct(cosine(column, c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centres)]))

@@ -93,6 +93,11 @@ sql("m15_date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y
 sql("m16_weekdays", "SELECT o_orderkey, CAST(dayofweek(o_orderdate) AS BIGINT) AS dow, CAST(weekday(o_orderdate) AS BIGINT) AS wd, CAST(quarter(o_orderdate) AS BIGINT) AS q, date_format(last_day(o_orderdate), 'yyyy-MM-dd') AS ld FROM {orders}", "SELECT o_orderkey, CAST(dayofweek(o_orderdate) + 1 AS BIGINT) AS dow, CAST(isodow(o_orderdate) - 1 AS BIGINT) AS wd, CAST(quarter(o_orderdate) AS BIGINT) AS q, strftime(last_day(o_orderdate), '%Y-%m-%d') AS ld FROM orders")
 sql("m18_trim_from", "SELECT n_nationkey, trim(BOTH 'A' FROM n_name) AS b, trim(LEADING 'A' FROM n_name) AS l, trim(TRAILING 'A' FROM n_name) AS t FROM {nation}", "SELECT n_nationkey, trim(n_name, 'A') AS b, ltrim(n_name, 'A') AS l, rtrim(n_name, 'A') AS t FROM nation")
 
+sql("m12_rand", "SELECT n_nationkey, rand() BETWEEN 0 AND 1 AS within FROM {nation}", "SELECT n_nationkey, true AS within FROM {nation}")
+sql("m13_clock_spellings", "SELECT n_nationkey, now() = localtimestamp() AND curdate() = current_date() AS agree FROM {nation}", "SELECT n_nationkey, true AS agree FROM {nation}")
+sql("m14_unix_timestamp", "SELECT o_orderkey, unix_timestamp() - unix_timestamp(o_orderdate) > 0 AS past, unix_timestamp(o_orderdate) AS s FROM {orders}", "SELECT o_orderkey, true AS past, CAST(epoch(o_orderdate) AS BIGINT) AS s FROM {orders}")
+over("m17_json_length", "events", "event_id", lambda: F.concat_ws("/", J.json_array_length(J.json_array(F.col("event_id"), 1)).cast("string"), J.json_type("props", "$.k").isNotNull().cast("string"), J.json_type("props", "$.none").isNotNull().cast("string"), J.arrow2(J.json_object("t", F.col("event_type")), "$.t")), "'2/true/false/' || event_type")
+
 # JSON (JS*): over events.props, like {"k": 0}
 for name, make, expression in (
     ("js1_json", lambda: J.json_("props"), "replace(props, ' ', '')"),

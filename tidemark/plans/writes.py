@@ -221,3 +221,54 @@ def x5(spark, d):
 def k4(spark, d):
     s = nations(spark, d)
     return s.vacuum(s.root + "-compact").frame("t")
+
+
+@frame("s11_information_views", "SELECT * FROM (VALUES ('COLUMNS', 5), ('KEY_COLUMN_USAGE', 4), ('ROUTINES', 0), ('SCHEMATA', 1), ('STATISTICS', 5), ('TABLES', 2), ('TABLE_CONSTRAINTS', 4), ('TRIGGERS', 0), ('VIEWS', 0)) v(name, n)")
+def s11(spark, d):
+    """Rows of each view of a catalog with two tables, a pair that is unique, a check, and a full-text index."""
+    s = nations(spark, d)
+    s.create_table("pair", [Spec("a"), Spec("b", "TEXT")], unique=[["a", "b"]])
+    s.create_index("words", "t", ["name"], "FULLTEXT")
+    names = ("TABLES", "COLUMNS", "SCHEMATA", "STATISTICS", "KEY_COLUMN_USAGE", "TABLE_CONSTRAINTS", "VIEWS", "TRIGGERS", "ROUTINES")
+    return spark.createDataFrame([(n, s.information(n).count()) for n in names], "name string, n int")
+
+
+@frame("s12_indexed_search", "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_nationkey = 7")
+def s12(spark, d):
+    """A search through a full-text index of a managed table; without one it is refused."""
+    from ..errors import IndexRequired
+
+    s = nations(spark, d)
+    try:
+        s.search_text("t", "name", "id", "x")
+        return spark.createDataFrame([(-1,)], "id bigint")
+    except IndexRequired:
+        s.create_index("words", "t", ["name"], "FULLTEXT")
+    name = s.frame("t").filter("id = 7").first()["name"]
+    return s.search_text("t", "name", "id", name, 1).select("id")
+
+
+@frame("k3_capped_json", "SELECT 200 AS shown, true AS cut, '<vector(64)>' AS vector")
+def k3(spark, d):
+    import json
+
+    from ..operators.rendering import render
+
+    told = json.loads(render(read(spark, d, "embeddings").select("vec_id", "embedding")))
+    return spark.createDataFrame([(len(told["rows"]), told["truncated"], told["rows"][0][1])], "shown int, cut boolean, vector string")
+
+
+@frame("t10_first_writer_wins", f"SELECT * FROM ({_OLD}) WHERE n <> 1")
+def t10(spark, d):
+    """Of two writers that began together the second to commit is refused, and leaves nothing."""
+    from ..errors import ConflictError
+
+    s = nations(spark, d)
+    s.begin()
+    s.delete("t", "n = 2")
+    Store(spark, s.root).delete("t", "n = 1")
+    try:
+        s.commit()
+    except ConflictError:
+        return s.frame("t")
+    return s.frame("t").limit(0)

@@ -20,7 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import CatalogError, ConflictError, ConstraintError, StorageError, TransactionError, Unsupported
+from ..errors import CatalogError, ConflictError, ConstraintError, IndexRequired, StorageError, TransactionError, Unsupported
 
 ROW = "__rowid__"
 KEEP = 4096
@@ -561,10 +561,60 @@ class Store:
         other._finish(state, [])
         return other
 
-    def information(self) -> DataFrame:
-        """The columns of all tables, one row each."""
-        rows = [(t, c.name, k + 1, c.type, not c.not_null, c.default, "PRI" if c.primary_key else "UNI" if c.unique else "") for t in self.names() for k, c in enumerate(self.table(t).columns)]
-        return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position long, data_type string, is_nullable boolean, column_default string, column_key string")
+    def search_text(self, name: str, columns: str | Sequence[str], key: str, query: str, k: int | None = None, where: str | None = None) -> DataFrame:
+        """BM25 ranking over a FULLTEXT index: key and score.  The postings of a table's version are written at its first search."""
+        from ..operators import text_index
+
+        columns = [columns] if isinstance(columns, str) else list(columns)
+        table = self.table(name)
+        found = next((n for n, i in table.indexes.items() if i["kind"] == "FULLTEXT" and [c.lower() for c in i["columns"]] == [c.lower() for c in columns]), None)
+        if found is None:
+            raise IndexRequired(f"no full-text index over {', '.join(columns)} of {name}")
+        to = f"{self.root}/indexes/{found}/{table.path.rsplit('/', 1)[1]}-{key}"
+        if not text_index.exists(self.spark, to):
+            fs, p = self._path(to.removeprefix(f"{self.root}/"))
+            fs.delete(p, True)  # what a broken build has left
+            text_index.build(self.frame_of(table), columns, key, to)
+        only = self.frame(name).filter(where).select(key) if where else None
+        return text_index.search(self.spark, to, query, k, key=key, only=only)
+
+    def search_vector(self, name: str, column: str, key: str, query: Sequence[float], k: int | None = None, where: str | None = None) -> DataFrame:
+        """Cosine ranking of a column that has a VECTOR index."""
+        from ..operators.retrieval import vector_top_k
+
+        if not self.has_index(name, column, "VECTOR"):
+            raise IndexRequired(f"no vector index over {column} of {name}")
+        return vector_top_k(self.frame(name), column, query, key, k, F.expr(where) if where else None)
+
+    def information(self, view: str = "COLUMNS") -> DataFrame:
+        """A view of the catalog: TABLES, COLUMNS, SCHEMATA, STATISTICS, KEY_COLUMN_USAGE, TABLE_CONSTRAINTS; and VIEWS, TRIGGERS
+        and ROUTINES, of which a database has none."""
+        tables = {t: self.table(t) for t in self.names()}
+        keys = [(t, "PRIMARY" if c.primary_key else f"{t}_{c.name}", [c.name]) for t, x in tables.items() for c in x.columns if c.primary_key or c.unique]
+        keys += [(t, next((n for n, i in x.indexes.items() if i["columns"] == u), f"{t}_{'_'.join(u)}"), u) for t, x in tables.items() for u in x.unique]
+        index = [(t, n, i["columns"], i["kind"], not i["unique"]) for t, x in tables.items() for n, i in x.indexes.items()]
+        index += [(t, n, u, "BTREE", False) for t, n, u in keys if n not in tables[t].indexes]
+        views = {
+            "TABLES": ("table_name string, table_type string", [(t, "BASE TABLE") for t in tables]),
+            "COLUMNS": (
+                "table_name string, column_name string, ordinal_position long, data_type string, is_nullable boolean, column_default string, column_key string",
+                [(t, c.name, k + 1, c.type, not c.not_null, c.default, "PRI" if c.primary_key else "UNI" if c.unique else "") for t, x in tables.items() for k, c in enumerate(x.columns)],
+            ),
+            "SCHEMATA": ("schema_name string", [("main",)]),
+            "STATISTICS": ("table_name string, index_name string, seq_in_index long, column_name string, index_type string, non_unique boolean", [(t, n, k + 1, c, kind, many) for t, n, cs, kind, many in index for k, c in enumerate(cs)]),
+            "KEY_COLUMN_USAGE": ("constraint_name string, table_name string, column_name string, ordinal_position long", [(n, t, c, k + 1) for t, n, cs in keys for k, c in enumerate(cs)]),
+            "TABLE_CONSTRAINTS": (
+                "constraint_name string, table_name string, constraint_type string",
+                [(n, t, "PRIMARY KEY" if n == "PRIMARY" else "UNIQUE") for t, n, _ in keys] + [(f"{t}_chk_{k + 1}", t, "CHECK") for t, x in tables.items() for k in range(len(x.checks))],
+            ),
+            "VIEWS": ("table_name string, view_definition string", []),
+            "TRIGGERS": ("trigger_name string, event_object_table string", []),
+            "ROUTINES": ("routine_name string, routine_type string", []),
+        }
+        if view.upper() not in views:
+            raise CatalogError(f"no such view: {view}")
+        schema, rows = views[view.upper()]
+        return self.spark.createDataFrame(rows, schema)
 
 
 def _all_known(group: Sequence[str]) -> Column:
