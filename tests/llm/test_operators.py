@@ -226,6 +226,17 @@ def test_ppm(spark, docs):
     for a, b in zip(have, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-11)
     assert ppm.score(empty(spark), F.lit(False)).count() == 0
+    with pytest.MonkeyPatch.context() as m:  # shards of a few rows and bytes, one text beyond them
+        m.setattr(ppm, "SHARD_ROWS", 4)
+        m.setattr(ppm, "SHARD_BYTES", 900)
+        import types
+
+        m.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 5))
+        sizes = [300, 500, 200, 0, 0, 0, 0, 5_000, 10, None, 890, 1]
+        texts = pa.array([None if n is None else "x" * n for n in sizes])
+        batch = pa.RecordBatch.from_arrays([pa.array([False] * 12), texts, pa.array(range(12))], names=["held", "text", "key"])
+        got = [x - (5 << 33) for part in ppm._sharded([batch.slice(0, 5), batch.slice(5)]) for x in part.column(0).to_pylist()]
+        assert got == [0, 0, 1, 1, 1, 1, 2, 3, 4, 4, 4, 5]
     first = ppm.Adaptive()
     assert first.code_length("abab abab abab") > first.code_length("qzxv") * 20  # code lengths are finite and add up
 

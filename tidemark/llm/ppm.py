@@ -8,7 +8,7 @@ are excluded below it.  Below the empty context all remaining bytes are alike.
 Where things are: words and byte strings are counted per shard of documents; only the distinct ones travel, to be summed
 over all training documents and to be priced.  Prices go back to the shards that asked for them, as one dictionary file per
 shard, and each document is scored beside its shard's dictionary.  So no task or driver ever holds the model, and what a
-task holds follows from the size of a shard, which is bounded in characters.  A context's prices need those contexts that
+task holds follows from the size of a shard, which is bounded in rows and bytes.  A context's prices need those contexts that
 end in the same two bytes, and two small tables (at most 65,536 and 256 rows) of shorter ones.  However large the corpus, so
 many bytes apart there are at most 2 ** 24 codes; in text of a hundred different bytes, a million.
 
@@ -27,6 +27,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,8 @@ from . import files
 from .common import crc_mod, scratch, ship, table, written
 
 ORDER = 4
-#: A shard has at most 2 ** SHARD_BITS documents of up to SHORT characters; each doubling of the length halves the number, so
-#: that a shard's texts together have at most 2 ** SHARD_BITS * SHORT characters, or are one longer text.
-SHARD_BITS = 13
-SHORT = 1 << 14
+#: A shard, which has one dictionary, is closed at so many documents or bytes of text, or is one longer text.
+SHARD_ROWS, SHARD_BYTES = 1 << 13, 1 << 26
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -100,6 +99,24 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 20):
             own, size, at = [], 0, k + 1
 
 
+def _sharded(batches):
+    """Rows -> the same with the number of their shard before them: next to each other, in bounded numbers and bytes."""
+    from pyspark import TaskContext
+
+    shard, rows, size = TaskContext.get().partitionId() << 33, 0, 0
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, at = np.empty(batch.num_rows, np.int64), 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            if rows and (rows >= SHARD_ROWS or size + int(upto[at]) - before > SHARD_BYTES):
+                shard, rows, size = shard + 1, 0, 0
+            to = min(at + SHARD_ROWS - rows, max(at + 1, int(np.searchsorted(upto, before + SHARD_BYTES - size, "right"))), batch.num_rows)
+            out[at:to] = shard
+            rows, size, at = rows + to - at, size + int(upto[to - 1]) - before, to
+        yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns], names=["shard", "held", "text", "key"])
+
+
 def _count(batches):
     """shard, held, text -> each shard's distinct words and codes with their counts in training texts."""
     last, words, codes = None, Counter(), _Counts()
@@ -258,12 +275,9 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     ship(spark)
     to = scratch(spark, "ppm")
-    rows = docs.select(F.monotonically_increasing_id().alias("at"), held_out.alias("held"), F.col(text).alias("text"), F.col(key).alias("key"))
-    longer = F.ceil(F.log2(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(SHORT)) / SHORT)).cast("int")
-    bits = F.greatest(F.lit(0), F.lit(SHARD_BITS) - longer)
-    # Shards of different sizes have different numbers, as each has its own last bits: one, then zeros.
-    shard = F.call_function("shiftleft", F.call_function("shiftright", F.col("at"), bits) * 2 + 1, bits)
-    rows = written(rows.select(shard.alias("shard"), "held", "text", "key").sortWithinPartitions("shard"), "ppm-rows")
+    rows = docs.select(held_out.alias("held"), F.col(text).alias("text"), F.col(key).alias("key"))
+    kind = dict(rows.dtypes)["key"]
+    rows = written(rows.mapInArrow(_sharded, f"shard long, held boolean, text string, key {kind}"), "ppm-rows")
     stats = written(rows.select("shard", "held", "text").mapInArrow(_count, "shard long, word binary, code long, n long"), "ppm-counts")
     words, codes = stats.filter("word is not null").select("shard", "word", "n"), stats.filter("code is not null").select("shard", "code", "n")
 
@@ -315,7 +329,6 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
 
     placed = rows.join(word_files.select(F.col("shard").alias("ws"), F.col("path").alias("wpath")), F.col("shard") == F.col("ws"), "left")
     placed = placed.join(code_files.select(F.col("shard").alias("cs"), F.col("path").alias("cpath")), F.col("shard") == F.col("cs"), "left")
-    kind = dict(rows.dtypes)["key"]
     return placed.select("shard", "held", "text", "key", "wpath", "cpath").mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
