@@ -21,6 +21,27 @@ def test_sql(spark, sf):
         assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(sql).fetchdf())
 
 
+def test_empty_tables(spark, sf, tmp_path):
+    """Every registered query over tables without rows gives no row and the columns it always has."""
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_languages_held_out(spark, sf):
+    """Of real tables' held-out documents nearly all are predicted right, and a very long text too."""
+    docs = common.table(spark, sf, "documents")
+    found = queries.QUERIES["op8_language"](spark, sf).filter("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").filter("lang IS NOT NULL AND length(text) > 40").collect()
+    assert len(found) > 20 and sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found)
+    from tidemark.llm import language
+
+    model = language.train(docs)
+    best = max((r for r in docs.filter("lang = 'de'").collect()), key=lambda r: len(r.text))
+    long = spark.createDataFrame([(" ".join([best.text] * 200), "x")], "text string, lang_pred string")
+    assert long.select(language.predictor(model)("text").alias("p")).first().p.lang_pred == "de"
+
+
 def toxic(docs, labels):
     """Ids of the documents whose words score 0.7 or more under a model fitted as the stage fits its own."""
     model = toxicity.train(docs, labels.filter(common.crc_mod(F.col("doc_id"), 3) != 1))

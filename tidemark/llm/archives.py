@@ -8,7 +8,8 @@ a revisit that refers to one response, and keeps the HTTP header alone.  Every W
 Edge cases: a null url is written as about:blank, white space in a url as %20 and so on; a null payload is empty; rows that
 repeat a page_id are records of their own (equal payloads whose id is the largest are all responses); rows without an id
 revisit like others, or are responses where no equal payload has an id; a body shorter than declared is marked truncated; a
-malformed date falls back to the archive's; an empty table gives no archive and no row; other columns play no part.
+malformed date falls back to the archive's; a very long payload is one record, written and hashed whole, in an archive of
+its own; an empty table gives no archive and no row; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

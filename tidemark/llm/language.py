@@ -7,8 +7,9 @@ by two matrix products: presence x landmarks, then by the fitted matrix.
 
 Fitting uses bounded samples (LANDMARKS and SAMPLE rows, as even over the languages as they allow); scoring reads every whole
 text.  Edge cases: a null text, or one without a letter, is `und` with score 1; without any labelled row all are `und` with
-score 0; a text that shares nothing with any landmark gets the commonest pattern's even score; an empty table gives an empty
-result; other columns play no part.
+score 0; a text that shares nothing with any landmark gets the commonest pattern's even score; of languages with equal
+margins the first by code point is predicted; rows that repeat an id are predicted one by one and equal texts equally; a
+very long text is read whole, alone in its slice; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
