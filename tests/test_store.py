@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import CatalogError, ConflictError, ConstraintError, TransactionError, Unsupported
+from tidemark.errors import CatalogError, ConflictError, ConstraintError, TransactionError, TypeMismatch, Unsupported
 from tidemark.sources.store import Spec, Store, affinity
 
 
@@ -141,3 +141,14 @@ def test_commit_is_one_file(store, spark):
     store.delete("t", "id = 2")
     with pytest.raises(ConflictError):
         other._put(state | {"version": state["version"] + 1})
+
+
+def test_values_of_another_kind_are_refused(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "kinds"))
+    s.create_table("k", [Spec("i"), Spec("r", "REAL"), Spec("t", "TEXT"), Spec("v", "VECTOR(2)")])
+    s.insert("k", spark.createDataFrame([(1, 2, "x", [1.0, 2.0])], "i int, r long, t string, v array<double>"))
+    s.insert("k", spark.createDataFrame([(None, None)], "i int, v array<float>"))
+    for value, kind in ((1.5, "i double"), ("1", "i string"), ("1", "r string"), (1, "t int"), ([1.0], "v array<double>"), ("[1,2]", "v string")):
+        with pytest.raises(TypeMismatch):
+            s.insert("k", spark.createDataFrame([(value,)], kind))
+    assert s.frame("k").count() == 2

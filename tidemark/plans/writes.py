@@ -272,3 +272,45 @@ def t10(spark, d):
     except ConflictError:
         return s.frame("t")
     return s.frame("t").limit(0)
+
+
+@frame("d12_kinds_on_write", "SELECT * FROM (VALUES ('integer into real', false), ('number into text', true), ('real into integer', true), ('short vector', true), ('text into integer', true)) v(what, refused)")
+def d12(spark, d):
+    from ..errors import TypeMismatch
+
+    s, out = store(spark), []
+    s.create_table("k", [Spec("i"), Spec("r", "REAL"), Spec("t", "TEXT"), Spec("v", "VECTOR(2)")])
+    for what, value, kind in (("integer into real", 1, "r long"), ("real into integer", 1.5, "i double"), ("text into integer", "1", "i string"), ("number into text", 1, "t long"), ("short vector", [1.0], "v array<double>")):
+        try:
+            s.insert("k", spark.createDataFrame([(value,)], kind))
+            out.append((what, False))
+        except TypeMismatch:
+            out.append((what, True))
+    return spark.createDataFrame(out, "what string, refused boolean")
+
+
+@frame("m19_refusals", "SELECT unnest(['CONCAT_WS', 'DATE_FORMAT', 'DATEDIFF', 'ILIKE', 'JSON_TYPE', 'QUALIFY', 'RIGHT JOIN', 'ROLLUP', 'SYSDATE']) AS name, true AS refused")
+def m19(spark, d):
+    """What the dialects do not have is refused with its name."""
+    from ..engine import Engine
+    from ..errors import Unsupported
+
+    e, out = Engine(spark, {"n": read(spark, d, "nation")}, mysql=True), []
+    asked = {f: f"SELECT {f}(1, 2) FROM n" for f in ("CONCAT_WS", "DATE_FORMAT", "DATEDIFF", "JSON_TYPE", "SYSDATE")}
+    asked |= {"ILIKE": "SELECT 1 FROM n WHERE n_name ILIKE 'a'", "QUALIFY": "SELECT 1 FROM n QUALIFY true", "RIGHT JOIN": "SELECT 1 FROM n RIGHT JOIN n AS m ON true", "ROLLUP": "SELECT 1 FROM n GROUP BY ROLLUP(n_name)"}
+    for name, text in asked.items():
+        try:
+            e.sql(text)
+            out.append((name, False))
+        except Unsupported as x:
+            out.append((name, name in str(x)))
+    return spark.createDataFrame(out, "name string, refused boolean")
+
+
+@frame("e1_engine_sql", "SELECT r_name, count(*) AS n, max(n_nationkey) AS m, substr(r_name, -3) AS tail FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 2 AND n_name ILIKE '%n_1%' GROUP BY r_name")
+def e1(spark, d):
+    """A text with parameters over named tables, in the dialect."""
+    from ..engine import Engine
+
+    e = Engine(spark, {"nation": read(spark, d, "nation"), "region": read(spark, d, "region")})
+    return e.sql("SELECT r_name, count(*) AS n, max(n_nationkey) AS m, substr(r_name, -3) AS tail FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > ? AND n_name LIKE ? GROUP BY r_name", [2, "%n_1%"])

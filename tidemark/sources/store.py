@@ -11,6 +11,7 @@ as if the rows had been written one by one, in their order.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Sequence
@@ -20,7 +21,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import CatalogError, ConflictError, ConstraintError, IndexRequired, StorageError, TransactionError, Unsupported
+from ..errors import CatalogError, ConflictError, ConstraintError, IndexRequired, StorageError, TransactionError, TypeMismatch, Unsupported
 
 ROW = "__rowid__"
 KEEP = 4096
@@ -46,6 +47,11 @@ def affinity(declared: str) -> str:
     return "REAL" if any(p in t for p in ("REAL", "FLOA", "DOUB")) else "NUMERIC"
 
 
+#: What a column takes on a write; integers widen to reals, nothing else changes its kind, and a number's text is a number.
+_TAKES = {k: re.compile(v) for k, v in {
+    "INTEGER": "tinyint|smallint|int|bigint|boolean", "REAL": r"tinyint|smallint|int|bigint|float|double|decimal.*", "TEXT": r"string|(var)?char\(\d+\)", "BLOB": "binary",
+    "NUMERIC": r"tinyint|smallint|int|bigint|boolean|float|double|decimal.*|string", "VECTOR": r"array<(tinyint|smallint|int|bigint|float|double|decimal.*)>",
+}.items()}
 SPARK = {"INTEGER": "bigint", "TEXT": "string", "BLOB": "binary", "REAL": "double", "NUMERIC": "double", "VECTOR": "array<float>"}
 
 
@@ -264,8 +270,6 @@ class Store:
         return self.spark.read.schema(table.schema).parquet(table.path)
 
     def rename_column(self, name: str, old: str, new: str) -> None:
-        import re
-
         table, real, state = self.table(name), self._real(name), self.state
         df = self.frame(name, True).withColumnRenamed(table.spec(old).name, new)
         swap = lambda text: re.sub(rf"\b{re.escape(old)}\b", new, text, flags=re.I)
@@ -275,8 +279,6 @@ class Store:
         self._save(state, real, table)
 
     def drop_column(self, name: str, column: str) -> None:
-        import re
-
         table, real, state = self.table(name), self._real(name), self.state
         spec = table.spec(column)
         if spec.primary_key or spec.unique or any(column.lower() in (u.lower() for u in g) for g in table.unique) or any(re.search(rf"\b{re.escape(column)}\b", c, re.I) for c in table.checks):
@@ -357,6 +359,11 @@ class Store:
         given = {c.lower(): c for c in rows.columns}
         if bad := [c for c in given if c not in {s.name.lower() for s in table.columns}]:
             raise CatalogError(f"no such column: {bad[0]}")
+        kinds = {c.lower(): k for c, k in rows.dtypes}
+        for c in table.columns:
+            kind = kinds.get(c.name.lower(), "void")
+            if kind != "void" and not _TAKES[affinity(c.type)].fullmatch(kind):
+                raise TypeMismatch(f"column {c.name} is {c.type} but the value is {kind}")
         return rows.select(*[F.col(given[s.name.lower()]).cast(s.spark).alias(s.name) if s.name.lower() in given else F.expr(s.default or "NULL").cast(s.spark).alias(s.name) for s in table.columns])
 
     def _violation(self, table: Table) -> Column:
@@ -370,6 +377,9 @@ class Store:
         return out
 
     def _check(self, df: DataFrame, table: Table) -> None:
+        for c in table.columns:
+            if (n := re.search(r"VECTOR\s*\(\s*(\d+)", c.type, re.I)) and not df.filter(F.size(c.name) != int(n[1])).isEmpty():
+                raise TypeMismatch(f"column {c.name} is {c.type} but a value has another dimension")
         bad = df.select(self._violation(table).alias("v")).filter("v IS NOT NULL").limit(1).collect()
         if bad:
             raise ConstraintError(f"constraint failed: {bad[0][0]}")
