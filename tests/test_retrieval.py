@@ -65,3 +65,20 @@ def test_text_index_ranks_as_a_scan_does(spark, tmp_path):
     for query in ("w1 w3 w1", "the", "हिन्दी", "none", ""):
         own = lambda x: sorted((r.id, round(r.score, 9)) for r in x.select("id", "score").collect())
         assert own(text_index.search(spark, str(tmp_path / "i"), query, key="id")) == own(R.bm25(df, ["a", "b"], query, "id"))
+
+
+def test_postings_are_counted_in_their_row(spark):
+    """Without an exchange, and without each posting carrying its row's words through the generator."""
+    from collections import Counter
+
+    from tidemark.operators import text_index
+
+    texts = {1: "b a B, c a", 2: "", 3: "... ---", 4: "word " * 3000 + "été 2024", 5: "x"}
+    p = text_index.postings(spark.createDataFrame(list(texts.items()), "key long, text string"))
+    want = {(k, t, float(n), float(len(R.query_terms(v)))) for k, v in texts.items() for t, n in [("", 0), *Counter(R.query_terms(v)).items()]}
+    got = [(r.key, r.term, r.tf, r.len) for r in p.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = p._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString()
+    generate = next(x for x in plan.optimizedPlan().toString().splitlines() if "Generate" in x)
+    assert "], false, [term#" in generate and "[]" not in generate  # the words' place is among those left out

@@ -1,8 +1,9 @@
 """A full-text index: postings written once, clustered by term, so that a query reads its own terms' rows and no text.
 
-Postings are term, key, tf (how often the row has the term) and len (the row's words), dealt by ranges of (term, key) and
-sorted, so that a term of a third of all rows spreads over many files and the filter on the term skips the others' row
-groups.  The number of rows with any text and their mean length are one row beside them.
+Postings are term, key, tf (how often the row has the term) and len (the row's words).  Words are counted inside their row
+and each task writes its own rows' postings sorted by term, as a segment: nothing is shuffled, a term of a third of all rows
+is in every segment, and the filter on the term skips the others' row groups and pages.  Each row with any text also has one
+posting of the term '', which no word is; the number of these rows and their mean length are one row beside the segments.
 """
 
 from __future__ import annotations
@@ -18,11 +19,23 @@ from .retrieval import B, K1, query_terms, tokens
 def build(df: DataFrame, columns: str | Sequence[str], key: str, to: str) -> None:
     """Write the index of one or several text columns; rows without any text are no part of it."""
     columns = [columns] if isinstance(columns, str) else list(columns)
-    texts = df.filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull()).select(F.col(key).alias("key"), tokens(F.concat_ws(" ", *[F.col(c) for c in columns])).alias("t"))
-    said = texts.select("key", F.size("t").cast("double").alias("len"), F.explode("t").alias("term"))
-    postings = said.groupBy("term", "key", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{to}/postings")
-    texts.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("t")).alias("mean")).write.parquet(f"{to}/statistics")
+    texts = df.filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull()).select(F.col(key).alias("key"), F.concat_ws(" ", *[F.col(c) for c in columns]).alias("text"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a file of one row group is one task
+        texts = texts.repartition(cores, "key")
+    postings(texts).sortWithinPartitions("term", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{to}/postings")
+    rows = df.sparkSession.read.parquet(f"{to}/postings").filter(F.col("term") == "")
+    rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{to}/statistics")
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """The postings of key and text: runs of equal words in each row's sorted words, and one row of the term ''."""
+    words = texts.select("key", F.sort_array(tokens(F.col("text"))).alias("t"))
+    starts = F.filter(F.transform("t", lambda x, i: F.when(~F.get("t", i - 1).eqNullSafe(x), i)), lambda i: i.isNotNull())
+    runs = words.select("key", F.size("t").cast("double").alias("len"), "t", starts.alias("at"))
+    counted = F.transform("at", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("t")) - i).cast("double").alias("tf")))
+    own = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("tf")))
+    return runs.select("key", "len", F.inline(F.concat(own, counted)))  # t must not be among these: each posting would carry its row's words
 
 
 def exists(spark: SparkSession, to: str) -> bool:
