@@ -40,6 +40,18 @@ def test_dates(spark):
         D.date(t("2024-01-01"), "localtime")
 
 
+def test_dates_read_their_text_once(spark):
+    """However many parts a format or modifiers name, the plan reads the text in a fixed number of places."""
+    t = F.col("id").cast("string")
+    for made in (D.strftime("%Y/%m/%d %H-%M-%S %j %w %u %U %W %V %G %I %p %F %T", D.moment(t)), D.datetime(t, "start of month", "+1 month", "-1 second", "weekday 0")):
+        plan = spark.range(1).select(made.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("([0-9]{4})-") == 2, plan.count("([0-9]{4})-")
+    texts = ["2023-02-31 01:02:03.5Z", "2024-02-29", " 10:20 ", "2024-01-01T10:20-02:30", "", "Z", "2024-1-1", "1,2", "2024-01-01\n", "24:00", "2460000.5", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string").coalesce(1)
+    got = [r.v for r in df.orderBy("k").select(D.strftime("%F %H:%M:%f", D.moment("t")).alias("v")).collect()]
+    assert got == ["2023-03-03 01:02:03.500", "2024-02-29 00:00:00.000", "2000-01-01 10:20:00.000", "2024-01-01 12:50:00.000", None, None, None, None, "2024-01-01 00:00:00.000", None, "2023-02-25 00:00:00.000", None]
+
+
 def test_json(spark):
     from tidemark.session import ship
 

@@ -1,11 +1,13 @@
 """Dates and times: texts, Julian days or Unix seconds, with modifiers, as Column expressions on milliseconds since 1970.
 
-A day beyond a month's end runs on into the next month; what can't be read is NULL; local time is refused.
+A day beyond a month's end runs on into the next month; what can't be read is NULL; local time is refused.  Each step binds
+the value before it once (`_let`): named in the expression wherever it is used, a text would be read hundreds of times a row.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,35 +18,43 @@ DAY = 86_400_000
 _TEXT = r"^\s*(?:([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T]+|$))?(?:([0-9]{2}):([0-9]{2})(?::([0-9]{2})(\.[0-9]+)?)?)?\s*(Z|z|[+-][0-9]{2}:[0-9]{2})?\s*$"
 
 
-def _part(c: Column, k: int) -> Column:
-    return F.regexp_extract(c, _TEXT, k)
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(c), lambda x: body(x)), F.lit(0))
 
 
 def _int(c: Column) -> Column:
-    return c.try_cast("bigint")
+    return F.when(c != "", c.try_cast("bigint"))  # a cast that fails costs more than all the rest of a row
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970 of a date whose month may be any number and whose day may run over."""
-    month = y * 12 + m - 1
-    first = F.make_date(F.floor(month / 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
-    return F.unix_date(first).cast("bigint") + d - 1
+    first = lambda month: F.make_date(F.floor(month / 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+    return F.unix_date(_let(y * 12 + m - 1, first)).cast("bigint") + d - 1
 
 
 def parse(c) -> Column:
     """A text as milliseconds; a bare number in it is a Julian day."""
-    c = col(c)
-    y, m, d, h, mi, s = (_int(_part(c, k)) for k in range(1, 7))
-    has_date, has_time = _part(c, 1) != "", _part(c, 4) != ""
+    return _let(col(c).cast("string"), _parsed)
+
+
+def _parsed(c: Column) -> Column:
+    parts = F.split(F.regexp_replace(c, _TEXT, ",".join(f"${k}" for k in range(1, 9))), ",")
+    julian = F.trim(c).try_cast("double")
+    return F.when(c.rlike(_TEXT), _let(parts, _composed)).when(c.rlike(r"^\s*[0-9.]+\s*$") & julian.isNotNull(), from_julian(julian))
+
+
+def _composed(p: Column) -> Column:
+    """Milliseconds of the eight groups of _TEXT, '' where one is absent."""
+    y, m, d, h, mi, s = (_int(p[k]) for k in range(6))
+    has_date, has_time = p[0] != "", p[3] != ""
     y, m, d = (F.when(has_date, v).otherwise(F.lit(w)) for v, w in ((y, 2000), (m, 1), (d, 1)))
     h, mi, s = (F.coalesce(v, F.lit(0)) for v in (h, mi, s))
-    ms = F.coalesce(F.round(_part(c, 7).try_cast("double") * 1000).cast("bigint"), F.lit(0))
-    zone = _part(c, 8)
+    ms = F.coalesce(F.when(p[6] != "", F.round(p[6].try_cast("double") * 1000).cast("bigint")), F.lit(0))
+    zone = p[7]
     shift = F.when(zone.rlike("^[+-]"), (F.when(zone.startswith("-"), -1).otherwise(1)) * (_int(F.substring(zone, 2, 2)) * 60 + _int(F.substring(zone, 5, 2)))).otherwise(0) * 60_000
-    fine = c.rlike(_TEXT) & (has_date | has_time) & m.between(1, 12) & d.between(1, 31) & (h < 24) & (mi < 60) & (s < 60)
-    whole = _days(y, m, d) * DAY + ((h * 60 + mi) * 60 + s) * 1000 + ms - shift
-    julian = F.trim(c).try_cast("double")
-    return F.when(fine, whole).when(julian.isNotNull() & c.rlike(r"^\s*[0-9.]+\s*$"), from_julian(julian))
+    fine = (has_date | has_time) & m.between(1, 12) & d.between(1, 31) & (h < 24) & (mi < 60) & (s < 60)
+    return F.when(fine, _days(y, m, d) * DAY + ((h * 60 + mi) * 60 + s) * 1000 + ms - shift)
 
 
 def from_julian(n) -> Column:
@@ -108,9 +118,9 @@ def moment(value, *modifiers: str, kind: str = "text") -> Column:
         # `floor` undoes the running over of the month step before it.
         if m.strip().lower() == "floor" and k and re.search(r"(month|year)s?$", modifiers[k - 1].strip().lower()):
             before = moment(value, *modifiers[: k - 1], kind=kind)
-            ms = F.when(F.dayofmonth(_date(ms)) < F.dayofmonth(_date(before)), ms - F.dayofmonth(_date(ms)) * DAY).otherwise(ms)
+            ms = _let(ms, lambda x, before=before: F.when(F.dayofmonth(_date(x)) < F.dayofmonth(_date(before)), x - F.dayofmonth(_date(x)) * DAY).otherwise(x))
         else:
-            ms = modify(ms, m)
+            ms = _let(ms, lambda x, m=m: modify(x, m))
     return ms
 
 
@@ -125,6 +135,10 @@ def _clock(ms: Column) -> tuple[Column, Column, Column, Column]:
 
 def strftime(form: str, ms: Column) -> Column:
     """A literal format compiled to one expression; an unknown specifier makes the result NULL."""
+    return _let(ms, lambda x: _formatted(form, x))
+
+
+def _formatted(form: str, ms: Column) -> Column:
     d, (h, mi, s, milli) = _date(ms), _clock(ms)
     iso_year = F.extract(F.lit("YEAROFWEEK"), d)
     twelve = F.when(h % 12 == 0, 12).otherwise(h % 12)
